@@ -12,11 +12,13 @@ _QUARTILES = 1.349
 _SALTS = 16
 
 
-def _median(values: Column) -> Column:
-    """Median of an array without nulls; null if it is empty."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+def _median(values: list[Column]) -> Column:
+    """Median of those columns that aren't null; null if all are."""
+    s = F.sort_array(F.array(*values))  # nulls first
+    nulls = sum((v.isNull().cast("int") for v in values[1:]), values[0].isNull().cast("int"))
+    low = nulls + F.floor((len(values) - nulls - 1) / 2).cast("int")
+    high = nulls + F.floor((len(values) - nulls) / 2).cast("int")
+    return F.when(nulls < len(values), (F.get(s, low) + F.get(s, high)) / 2)
 
 
 def _frozen(rows: DataFrame, run: int, block_rows: int) -> DataFrame:
@@ -74,9 +76,8 @@ def flag_spikes(
     w = Window.partitionBy("block", "_src").orderBy("pos")
     near = {f"_p{i}": F.lag("_v", i).over(w) for i in range(1, reach + 1)} | {f"_n{i}": F.lead("_v", i).over(w) for i in range(1, reach + 1)}
     blocks = blocks.withColumns(near)
-    past = F.array_compact(F.array(*[f"_p{i}" for i in range(1, reach + 1)]))
-    coming = F.array_compact(F.array(*[f"_n{i}" for i in range(1, reach + 1)]))
-    blocks = blocks.withColumns({"_before": _median(past), "_after": _median(coming), "level": _median(F.concat(past, coming))})
+    past, coming = ([F.col(f"_{side}{i}") for i in range(1, reach + 1)] for side in "pn")
+    blocks = blocks.withColumns({"_before": _median(past), "_after": _median(coming), "level": _median(past + coming)})
     blocks = blocks.withColumns({f"_b{j}": F.lag("_before", j).over(w) for j in range(1, longest)} | {f"_a{j}": F.lead("_after", j).over(w) for j in range(1, longest)})
 
     def at(step: int) -> Column:
