@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def repair(dates: Sequence, pairs: pd.DataFrame, candidates: pd.DataFrame, *, ma
         join(row.ref, row.rep)
     near = candidates[candidates.baseline.abs() <= max_bridge]
     near = near.assign(cost=near.duration / max_days + near.baseline.abs() / max_metres).sort_values(["cost", "ref", "rep"])
-    bridges = near[[join(row.ref, row.rep) for row in near.itertuples()]]
+    bridges = near[np.array([join(row.ref, row.rep) for row in near.itertuples()], bool)]
     whole = pd.concat([pairs, bridges.drop(columns="cost")]).sort_values(["ref", "rep"]).reset_index(drop=True)
     groups: dict = {}
     for d in dates:

@@ -262,7 +262,7 @@ def velocity_slope(spark: SparkSession, folder: str) -> DataFrame:
     return insar.velocities(user_days(spark, folder), "los_mm", "date", ["cell_id"]).select("cell_id", r("mm_per_year", 4))
 
 
-@query(f"""with {_CELLS} select date, round(1.0, 6) valid_fraction, round(avg(los_mm), 6) mean, round(min(los_mm), 6) least, round(max(los_mm), 6) most from c group by 1""", dates=("date",))
+@query(f"""with {_CELLS} select date, 1::double valid_fraction, round(avg(los_mm), 6) mean, round(min(los_mm), 6) least, round(max(los_mm), 6) most from c group by 1""", dates=("date",))
 def date_statistics(spark: SparkSession, folder: str) -> DataFrame:
     rows = insar.date_statistics(user_days(spark, folder))
     return rows.select("date", r("valid_fraction"), r("mean"), r("least"), r("most"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,23 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the session's Python workers, once; they need not have it installed."""
+    context = spark.sparkContext
+    if "gaugeflow.zip" not in context._python_includes:
+        package = os.path.dirname(os.path.abspath(__file__))
+        # staged on the driver only: Spark's file server hands it to the executors
+        path = os.path.join(tempfile.mkdtemp(prefix="gaugeflow-"), "gaugeflow.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        file = os.path.join(folder, name)
+                        archive.write(file, os.path.join("gaugeflow", os.path.relpath(file, package)))
+        context.addPyFile(path)
     return spark
 
 

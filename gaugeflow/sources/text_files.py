@@ -38,8 +38,8 @@ def header_and_sample(content: bytes, rows: int = 5, separator: str = ",") -> tu
 def read_any_encoding(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """(path, line_no, encoding, cells, names): each line of each file below path as an array of texts.
 
-    Files are decoded where they are read, one file in a task at a time; those that can't be parsed give one
-    row with null cells.
+    Files are decoded where they are read, one at a time; one that can't be parsed gives one row with null
+    cells, an empty one none.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
