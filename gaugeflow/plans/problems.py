@@ -39,7 +39,7 @@ def p3_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    cases = p3_values(spark, folder).filter("converted")
+    cases = to_common_units(table(spark, folder, "raw_records"), table(spark, folder, "table_columns"), converted_only=True)
     return cases.select("record_id", "ordinal", F.round(F.col("value") * 10).cast("bigint").alias("value_tenths")).distinct()
 
 
