@@ -101,6 +101,19 @@ def _with_readings(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("_r", F.array(*clocks, *epochs)).drop("_low", "_p", "_y", "_mo", "_d", "_usual", "_other")
 
 
+def _with_forms(rows: DataFrame) -> DataFrame:
+    """rows with _f: the readings that are instants, as (form, utc), and _set: the bit mask of their forms."""
+    rows = _with_readings(rows, F.when(F.length("text") <= _LONGEST, F.col("text")))
+    # the form of each place in _r; places 0 and 1 depend on the shape
+    swapped = F.create_map(*[F.lit(NAMES.index(n)) for pair in SWAPPED.items() for n in pair])
+    forms = F.array(F.col("_shape"), F.try_element_at(swapped, F.col("_shape")), *[F.lit(NAMES.index(e)) for e in EPOCHS])
+    rows = rows.withColumn("_f", F.filter(F.arrays_zip(forms.alias("form"), F.col("_r").alias("utc")), lambda x: x.utc.isNotNull()))
+    bits = F.aggregate("_f", F.lit(0), lambda sum, x: sum + F.pow(F.lit(2), x.form).cast("int"))
+    # exploding a single struct keeps later filters from being pushed down as copies of all this parsing
+    rows = rows.select("source", "key", "text", "_shape", "_zone", "_known", F.explode(F.array(F.struct("_f", bits.alias("_set")))).alias("_x"))
+    return rows.select("source", "key", "text", "_shape", "_zone", "_known", "_x.*")
+
+
 def fit_mixture(sets: list[int], counts: list[int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """EM for one source: sets are bit masks of the forms valid for counts texts; gives each set's chosen
     form and its posterior. Weights start equal; the forms' priors stay part of the likelihood."""
@@ -136,18 +149,11 @@ def to_instants(df: DataFrame, *, source: str, key: str, text: str, zone: str |
     rows = df.select(F.col(source).alias("source"), F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(place, F.lit("UTC")).alias("_place"))
     known = F.col("_place").isin(zones)
     rows = rows.withColumns({"_known": known, "_place": F.when(known, F.col("_place")).otherwise("UTC")})
-    rows = _with_readings(rows, F.when(F.length("text") <= _LONGEST, F.col("text")))
-    # the form of each place in _r; places 0 and 1 depend on the shape
-    swapped = F.create_map(*[F.lit(NAMES.index(n)) for pair in SWAPPED.items() for n in pair])
-    forms = F.array(F.col("_shape"), F.try_element_at(swapped, F.col("_shape")), *[F.lit(NAMES.index(e)) for e in EPOCHS])
-    rows = rows.withColumn("_f", F.filter(F.arrays_zip(forms.alias("form"), F.col("_r").alias("utc")), lambda x: x.utc.isNotNull())).drop("_r")
-    bits = F.aggregate("_f", F.lit(0), lambda sum, x: sum + F.pow(F.lit(2), x.form).cast("int"))
-    # exploding a single struct keeps the filters below from being pushed down as copies of all this parsing
-    rows = rows.select("source", "key", "text", "_shape", "_zone", "_known", F.explode(F.array(F.struct("_f", bits.alias("_set")))).alias("_x"))
-    rows = rows.select("source", "key", "text", "_shape", "_zone", "_known", "_x.*")
-    alone = F.bit_count("_set") < 2
-    single = rows.filter(alone).withColumns({"_form": F.when(F.col("_set") > 0, F.log2(F.col("_set")).cast("int")), "posterior": F.when(F.col("_set") > 0, 1.0)})
-    several = rows.filter(~alone)
+    # only dates with dots or slashes and bare digits can have several readings
+    maybe = F.coalesce(F.col("text").rlike(r"^[\s ]*(\d{1,2}[./]\d|\d{9,20}[\s ]*$)"), F.lit(False))
+    several = _with_forms(rows.filter(maybe)).filter(F.bit_count("_set") > 1)
+    rows = _with_forms(rows)
+    single = rows.filter(F.bit_count("_set") < 2).withColumns({"_form": F.when(F.col("_set") > 0, F.log2(F.col("_set")).cast("int")), "posterior": F.when(F.col("_set") > 0, 1.0)})
 
     # the mixture of a source also counts its plain texts: they tell which forms it writes
     tallies = rows.filter("_set > 0").groupBy("source", "_set").count()
