@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.units import ALIASES
 from gaugeflow.operators.common_units import to_common_units
 from gaugeflow.operators.drift import column_changes, column_lifespans, one_table
 from gaugeflow.operators.instants import to_instants
@@ -82,6 +83,43 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p2_found, p2_series, p3_found, p3_values, p4_found, p4_instants, p5_found, p5_catalogue, p5_table, p6_found)}
 
+def _instants_sql() -> str:
+    """One CASE for each form of text; the earlier of two instants for an hour that occurs twice."""
+    clock, zone = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?", r" ?(z|[+-]\d{2}(?::?\d{2})?|utc|gmt|[a-z]{3,4})?"
+    forms = {
+        "iso": (r"(\d{4})-(\d{2})-(\d{2})[t ]" + clock + zone, "y m d h n s f z"),
+        "basic": (r"(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(\d{2})" + zone, "y m d h n s z"),
+        "ordinal": (r"(\d{4})-(\d{3})[t ]" + clock + zone, "y j h n s f z"),
+        "mail": (r"(?:[a-z]{3}, )?(\d{1,2}) ([a-z]{3}) (\d{4}) " + clock + zone, "d b y h n s f z"),
+        "half": (r"(\d{1,2})/(\d{1,2})/(\d{4}) " + clock + r" ?([ap])m", "m d y h n s f a"),
+        "day": (r"(\d{1,2})[./](\d{1,2})[./](\d{4}) " + clock + zone, "d m y h n s f z"),
+    }
+    keys = "y m d j b h n s f a z".split()
+    cases = []
+    for pattern, names in forms.values():
+        groups = ", ".join(f"'{n}'" for n in names.split())
+        parts = ", ".join(f"x.{k}" if k in names.split() else "''" for k in keys)
+        cases.append(f"when regexp_full_match(t, '{pattern}') then (select [{parts}] from (select regexp_extract(t, '^{pattern}$', [{groups}]) x))")
+    months = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+    offsets = "case p[11] when 'z' then 0 when 'utc' then 0 when 'gmt' then 0 when 'wet' then 0 when 'west' then 60 when 'cet' then 60 when 'cest' then 120 when 'mst' then -420 when 'mdt' then -360 end"
+    return rf"""
+with r as (select 'slope_readings' source_table, 'timestamp' field_name, reading_id row_key, timestamp as text, coalesce(logger_tz, 'UTC') tz from slope_readings
+  union select 'stac_items', 'start_datetime', item_no, properties.start_datetime, 'UTC' from stac_items union select 'stac_items', 'end_datetime', item_no, properties.end_datetime, 'UTC' from stac_items),
+t as (select *, lower(trim(text)) t from r where text is not null and not regexp_full_match(text, '\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\dZ')),
+p as (select *, case {" ".join(cases)} end p, case when regexp_full_match(t, '\d{{9,20}}') then t::hugeint end n from t),
+w as (select *, (case when p[4] <> '' then try_cast(p[1] || '-01-01' as date) + (try_cast(p[4] as int) - 1)
+    else try_cast(p[1] || '-' || lpad(case when p[5] <> '' then list_position({months}, p[5])::varchar else p[2] end, 2, '0') || '-' || lpad(p[3], 2, '0') as date) end)::timestamp
+  + to_hours(case when p[10] = '' then p[6]::int else p[6]::int % 12 + (p[10] = 'p')::int * 12 end) + to_minutes(p[7]::int) + to_seconds(coalesce(try_cast(p[8] as int), 0))
+  + to_microseconds(coalesce(try_cast(rpad(left(p[9], 6), 6, '0') as int), 0) * (p[9] <> '')::int) wall from p),
+z as (select *, epoch_us(timezone(tz, wall)) late from w),
+o as (select source_table, field_name, row_key, case
+  when n is not null then case when n < 100000000000 then n * 1000000 when n < 100000000000000 then n * 1000 when n < 100000000000000000 then n else n // 1000 end
+  when p[11] similar to '[+-].*' then epoch_us(wall) - (case when p[11][1] = '-' then -1 else 1 end * (substr(p[11], 2, 2)::int * 60 + coalesce(try_cast(right(replace(p[11][4:], ':', ''), 2) as int), 0))) * 60000000::bigint
+  when p[11] <> '' then epoch_us(wall) - {offsets} * 60000000::bigint
+  when timezone(tz, make_timestamptz(late - 3600000000)) = wall then late - 3600000000 else late end utc_us from z)
+select distinct source_table, field_name, row_key, utc_us::bigint utc_us from o where utc_us is not null"""
+
+
 _MESSAGES = """
 m as (select platform, lower(trim(sensor_type)) kind, epoch_us(cast(timestamp as timestamptz)) us from sensor_messages
       where timestamp >= '2000' and (pressure_kpa is not null or (temperature_c is not null and not isnan(temperature_c)))),
@@ -90,8 +128,92 @@ s as (select distinct m.platform, k.period_s * 1000000::bigint period, m.us // (
       from m join t using (platform) join sensor_kinds k on k.sensor_type = t.kind),
 g as (select *, lead(slot) over (partition by platform order by slot) following from s)"""
 
+
+
+def _spikes_sql() -> str:
+    """Runs, ranges and short runs that stand off, by windows over whole platforms; exact quartiles."""
+    med = "(list_aggregate({0}, 'median'))"
+    near = ", ".join(f"lag(v, {i}) over w p{i}, lead(v, {i}) over w n{i}" for i in range(1, 8))
+    past, coming = "[" + ", ".join(f"p{i}" for i in range(1, 8)) + "]", "[" + ", ".join(f"n{i}" for i in range(1, 8)) + "]"
+    ends = ", ".join(f"lag(b, {j}) over w b{j}, lead(a, {j}) over w a{j}" for j in (1, 2))
+
+    def at(i: int) -> str:
+        return "v" if i == 0 else f"p{-i}" if i < 0 else f"n{i}"
+
+    spans = []
+    for length in (1, 2, 3):
+        for j in range(length):
+            b, a = (f"b{j}" if j else "b"), (f"a{length - 1 - j}" if length - 1 - j else "a")
+            off = ", ".join(f"abs({at(i)} - {side})" for i in range(-j, length - j) for side in (b, a))
+            spans.append(f"({b} is not null and {a} is not null and least({off}) >= 8 * s and greatest(abs({at(-j - 1)} - {b}), abs({at(length - j)} - {a})) < 8 * s)")
+    return f"""
+with d as (select distinct id, platform, measurement_date t, ph::double v from {PH} where ph is not null),
+r as (select *, count(*) over f = 8 and min(v) over f = max(v) over f e from d window f as (partition by platform order by t, id rows 7 preceding)),
+h as (select *, max(e) over (partition by platform order by t, id rows between current row and 7 following) frozen from r),
+g as (select id, platform, t, v, {near} from h where not frozen and v between 0 and 14 window w as (partition by platform order by t, id)),
+m as (select *, {med.format(past)} b, {med.format(coming)} a, {med.format(f"list_concat({past}, {coming})")} l from g),
+q as (select platform, greatest((quantile_disc(v - l, 0.75) - quantile_disc(v - l, 0.25)) / 1.349, 0.005) s from m group by 1),
+x as (select *, {ends} from m window w as (partition by platform order by t, id))
+select id from h where frozen or not (v between 0 and 14) union select id from x join q using (platform) where {" or ".join(spans)}"""
+
+
+#: For SQL: each quantity's names and its units' texts in lower case, with what they are worth.
+_UNIT_ROWS = {
+    "pressure": "kpa 1 0|hpa 0.1 0|mbar 0.1 0|bar 100 0|psi 6.894757 0|lbf/in2 6.894757 0|mh2o 9.80665 0|m h2o 9.80665 0",
+    "temperature": "c 1 0|°c 1 0|degc 1 0|celsius 1 0|k 1 -273.15|kelvin 1 -273.15|f 0.5555555555555556 -17.77777777777778|°f 0.5555555555555556 -17.77777777777778|degf 0.5555555555555556 -17.77777777777778|fahrenheit 0.5555555555555556 -17.77777777777778",
+    "deformation": "mm 1 0|cm 10 0|m 1000 0|um 0.001 0|µm 0.001 0|in 25.4 0|inch 25.4 0|\" 25.4 0",
+    "level": "m 1 0|cm 0.01 0|mm 0.001 0|ft 0.3048 0|feet 0.3048 0|' 0.3048 0",
+    "flow": "l/s 1 0|l_s 1 0|lps 1 0|l/min 0.016666666666666666 0|l_min 0.016666666666666666 0|lpm 0.016666666666666666 0|m3/h 0.2777777777777778 0|m³/h 0.2777777777777778 0|m3_h 0.2777777777777778 0|cmh 0.2777777777777778 0|gpm 0.0630901964 0",
+}
+
+
+def _columns_sql() -> str:
+    """CTEs u (quantity, unit, factor, shift) and c (file_id, ordinal, name, type, quantity, unit) of all headers."""
+    rows = []
+    for quantity, units in _UNIT_ROWS.items():
+        for text in units.split("|"):
+            unit, factor, shift = text.rsplit(" ", 2)
+            unit = unit.replace("'", "''")
+            rows.append(f"('{quantity}', '{unit}', {factor}, {shift})")
+    kinds = " ".join(f"when regexp_matches(name, '^({'|'.join(sorted(names.split(), key=len, reverse=True))})(_.+)?$') then '{q}'" for q, names in ALIASES.items())
+    every = "|".join(sorted(" ".join(ALIASES.values()).split(), key=len, reverse=True))
+    return f"""u(quantity, unit, factor, shift) as (values {", ".join(rows)}),
+n as (select distinct file_id, ordinal, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') name, lower(trim(type)) type from table_columns),
+k as (select *, case {kinds} end quantity, regexp_extract(name, '^({every})_(.+)$', 2) unit from n),
+c as (select k.file_id, ordinal, name, type, case when k.unit = '' or u.unit is not null then k.quantity end quantity, k.unit from k left join u on u.quantity = k.quantity and u.unit = k.unit)"""
+
+
+def _units_sql() -> str:
+    return f"""
+with {_columns_sql()},
+r as (select distinct record_id, file_id, cells from raw_records),
+e as (select record_id, ordinal, quantity, c.unit named, trim(cells[ordinal], '  ') cell from r join c using (file_id) where quantity is not null),
+p as (select *, regexp_extract(cell, '^([+-]?[0-9][0-9 ]*(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?) *([^0-9].*)?$', ['number', 'unit']) x from e),
+v as (select record_id, ordinal, quantity, lower(case when x.unit <> '' then x.unit else named end) unit, try_cast(replace(replace(x.number, ' ', ''), ',', '.') as double) value from p)
+select distinct record_id, ordinal, round((value * factor + shift) * 10)::bigint value_tenths from v join u using (quantity, unit)
+where value is not null and value <> -9999 and not (factor = 1 and shift = 0)"""
+
+
+def _drift_sql() -> str:
+    return f"""
+with {_columns_sql()},
+f as (select file_id, field, min(struct_pack(ordinal, name, type)) x from (select *, coalesce('quantity:' || quantity, name) field from c) group by 1, 2),
+s as (select file_id, lag(file_id) over (partition by feed order by period_start, file_id) before from (select distinct feed, period_start, file_id from insitu_files)),
+new as (select s.file_id, field, x from s join f using (file_id) where before is not null),
+old as (select s.file_id, field, x from s join f on f.file_id = s.before),
+j as (select file_id, field, old.x o, new.x n from old full join new using (file_id, field))
+select file_id, 'added' as change, '' as old_name, n.name as new_name from j where o is null
+union all select file_id, 'removed', o.name, '' from j where n is null
+union all select file_id, 'renamed', o.name, n.name from j where o.name <> n.name
+union all select file_id, 'retyped', o.name, n.name from j where o.type <> n.type"""
+
+
 #: Equivalent SQL of those queries that SQL can express in a few lines; the others are tested by brute force.
 ORACLE = {
+    "p1_found": _spikes_sql(),
+    "p3_found": _units_sql(),
+    "p4_found": _instants_sql(),
+    "p5_found": _drift_sql(),
     "p2_found": f"with {_MESSAGES} select platform, unnest(range(slot + 1, following)) * period as slot_start_us from g where following > slot + 1",
     "p6_found": """
 with p as (select distinct platform, location.lon lon, location.lat lat from fakesite_phmeasurements_2025_cybele
