@@ -23,6 +23,8 @@ from gaugeflow.llm.text import words
 
 #: Words hashed at a time; bounds the memory of a long document's bit counts.
 _STRETCH = 1 << 16
+#: Characters of texts that are searched together.
+TOGETHER = 1 << 20
 #: Item windows in one broadcast (32 bytes each); more items are searched for in several passes.
 ITEM_WINDOWS = 1 << 20
 
@@ -108,26 +110,33 @@ class Index:
         whole = weigh(x | y)
         return weigh(x & y) / whole if whole else 0.0
 
-    def search(self, text: str | None, similar: float) -> list[tuple[int, float, bool]]:
-        """(item, best similarity, exact) of each item of which the text holds a window, at least nearly."""
-        hashes = word_hashes(text)
-        left, right = self.candidates(fingerprints(hashes, self.window))
+    def search(self, texts: list[str | None], similar: float) -> list[tuple[int, int, float, bool]]:
+        """(text, item, best similarity, exact) of each item of which a text holds a window, at least nearly."""
+        lists = [words(t) for t in texts]
+        hashes = np.fromiter((_hash(w) for ws in lists for w in ws), np.uint64)
+        text = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
+        prints = fingerprints(hashes, self.window)
+        # windows that reach into the next text are none
+        whole = np.flatnonzero(text[: len(prints)] == text[self.window - 1 :]) if len(prints) else np.empty(0, int)
+        left, right = self.candidates(prints[whole])
         if not len(left):
             return []
+        left = whole[left]
         own = np.lib.stride_tricks.sliding_window_view(hashes, self.window)
         exact = np.zeros(len(left), bool)
         for at in range(0, len(left), _STRETCH):
             part = slice(at, at + _STRETCH)
             exact[part] = (own[left[part]] == self.words[right[part]]).all(1)
-        best = {int(i): (1.0, True) for i in np.unique(self.item[right[exact]])}
-        # an item that stands in the text word for word needs no nearly equal windows
-        rest = np.flatnonzero(~exact & ~np.isin(self.item[right], list(best)))
-        for k in rest:
+        best = {(int(t), int(i)): (1.0, True) for t, i in np.unique(np.column_stack([text[left[exact]], self.item[right[exact]]]), axis=0)}
+        # an item that stands in a text word for word needs no nearly equal windows
+        for k in np.flatnonzero(~exact):
+            pair = int(text[left[k]]), int(self.item[right[k]])
+            if best.get(pair, (0.0, False))[1]:
+                continue
             s = self.similarity(own[left[k]], self.words[right[k]])
-            i = int(self.item[right[k]])
-            if s >= similar and s > best.get(i, (0.0, False))[0]:
-                best[i] = (s, False)
-        return [(i, s, e) for i, (s, e) in best.items()]
+            if s >= similar and s > best.get(pair, (0.0, False))[0]:
+                best[pair] = (s, False)
+        return [(t, i, s, e) for (t, i), (s, e) in best.items()]
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -173,8 +182,13 @@ def find_leaks(
 
         def search(rows: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for row in rows:
-                hits = [(k, *hit) for k, t in zip(row["k"], row["t"], strict=True) for hit in index.value.search(t, similar)]
-                yield pd.DataFrame(hits, columns=["key", "item", "similarity", "exact"])
+                keys, texts = row["k"].to_numpy(), row["t"].tolist()
+                # texts are taken together up to some size; a long one may be alone
+                ends = np.cumsum([len(t) for t in texts]) // TOGETHER
+                for cut in np.unique(ends):
+                    some = np.flatnonzero(ends == cut)
+                    hits = [(keys[some[0] + t], *hit) for t, *hit in index.value.search([texts[i] for i in some], similar)]
+                    yield pd.DataFrame(hits, columns=["key", "item", "similarity", "exact"])
 
         rows = documents.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
         hits = rows.mapInPandas(search, "key bigint, item bigint, similarity double, exact boolean")
