@@ -33,6 +33,7 @@ def with_token_counts(df: DataFrame, text: str, name: str, vocabulary: str = VOC
         for part in parts:
             yield pd.Series([len(encode(t)) if t else 0 for t in part], dtype="int64")
 
-    counted = F.pandas_udf(count, "bigint")
+    # declared nondeterministic, so that filters on the count aren't pushed down as a second call
+    counted = F.pandas_udf(count, "bigint").asNondeterministic()
     return df.withColumn(name, counted(F.col(text))).drop(text)
 
