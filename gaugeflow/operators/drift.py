@@ -34,8 +34,8 @@ def _fields(headers: DataFrame) -> DataFrame:
 
 def _placed(files: DataFrame, block_files: int) -> DataFrame:
     """(feed, file_id, period_start, pos, block, core, before, after): each file's place and its feed's neighbours."""
-    rows = files.select("feed", "period_start", "file_id").filter("feed is not null and file_id is not null").distinct()
-    blocks = rank_blocks(rows, ["feed", "period_start", "file_id"], block_files, halo=2)
+    rows = files.select("feed", "period_start", "file_id").filter("feed is not null and file_id is not null")
+    blocks = rank_blocks(rows, ["feed", "period_start", "file_id"], block_files, halo=2, distinct=True)
     w = Window.partitionBy("block", "feed").orderBy("pos")
     return blocks.withColumns({"before": F.lag("file_id").over(w), "after": F.lead("file_id").over(w)})
 

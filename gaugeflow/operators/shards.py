@@ -19,22 +19,26 @@ from gaugeflow.session import cut
 _ROW_BITS = 33
 
 
-def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """df range-sorted by order and cut, with _part and _row: its partition and place there."""
-    flat = df.repartitionByRange(*order).sortWithinPartitions(*order)
+def _ranged(df: DataFrame, order: Sequence[str], distinct: bool = False) -> DataFrame:
+    """df range-sorted by order and cut, with _part and _row: its partition and place there.
+
+    Equal rows are in one partition, so that distinct needs no exchange of its own.
+    """
+    flat = df.repartitionByRange(*order)
+    flat = (flat.distinct() if distinct else flat).sortWithinPartitions(*order)
     flat = cut(flat.withColumn("_m", F.monotonically_increasing_id()))
     return flat.withColumns({"_part": F.shiftright("_m", _ROW_BITS), "_row": F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1)}).drop("_m")
 
 
-def rank_blocks(df: DataFrame, order: Sequence[str], block_rows: int, halo: int) -> DataFrame:
+def rank_blocks(df: DataFrame, order: Sequence[str], block_rows: int, halo: int, distinct: bool = False) -> DataFrame:
     """Add pos (global rank by order), block and core; rows near a block's edge appear in both blocks.
 
-    core is true once for each row. The driver only gets a row count for each partition; the table of
+    core is true once for each row, with distinct once for equal rows. The driver only gets a row count for each partition; the table of
     offsets it sends back has 16 bytes a partition.
     """
     if block_rows < 2 * halo or block_rows < 1:
         raise ValueError("a block must hold at least two halos")
-    flat = _ranged(df, order)
+    flat = _ranged(df, order, distinct)
     counts = sorted(tuple(r) for r in flat.groupBy("_part").agg(F.count(F.lit(1))).collect())
     offsets, total = [], 0
     for part, n in counts:

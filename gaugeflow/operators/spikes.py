@@ -22,8 +22,8 @@ def _median(values: list[Column]) -> Column:
 
 
 def _frozen(rows: DataFrame, run: int, block_rows: int) -> DataFrame:
-    """rows with frozen: the reading is one of at least run equal ones in a row."""
-    blocks = rank_blocks(rows, ["_src", "_t", "_key"], block_rows, halo=run - 1)
+    """Distinct rows with frozen: the reading is one of at least run equal ones in a row."""
+    blocks = rank_blocks(rows, ["_src", "_t", "_key"], block_rows, halo=run - 1, distinct=True)
     w = Window.partitionBy("block", "_src").orderBy("pos")
     back = w.rowsBetween(1 - run, 0)
     ends = (F.count("_v").over(back) == run) & (F.min("_v").over(back) == F.max("_v").over(back))
@@ -65,7 +65,7 @@ def flag_spikes(
     hourly = dict(df.dtypes)[when].startswith("timestamp")
     number = F.col(value).cast("double")
     rows = df.select(F.col(source).alias("_src"), F.col(when).alias("_t"), F.col(key).alias("_key"), number.alias("_v"))
-    rows = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).distinct()
+    rows = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     checked = _frozen(rows, run, block_rows)
     reason = F.when(~F.col("_v").between(low, high), "range").when(F.col("frozen"), "frozen")
     checked = checked.withColumn("reason", reason).drop("frozen")
