@@ -132,3 +132,38 @@ def collection_summary(items: DataFrame) -> DataFrame:
         F.countDistinct(F.to_date(F.col("properties.datetime").try_cast("timestamp"))).alias("n_dates"),
         *[f(b).alias(n) for f, b, n in zip((F.min, F.min, F.max, F.max), box, ("west", "south", "east", "north"), strict=True)],
     )
+
+
+def renamed_assets(items: DataFrame, names: dict[str, str]) -> DataFrame:
+    """items with just the assets that names has, under their new names."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    kept = F.map_filter("assets", lambda k, a: k.isin(*names))
+    return items.withColumn("assets", F.transform_keys(kept, lambda k, a: F.try_element_at(table, k)))
+
+
+def with_band_assets(items: DataFrame, prefix: str) -> DataFrame:
+    """items with one more asset for each band file (array of paths): B02 of ..._B02.tif, below prefix."""
+    band = lambda p: F.upper(F.regexp_extract(p, r"_(B\d[0-9A]|SCL)[_.]", 1))
+    kind = items.schema["assets"].dataType.valueType
+    entry = lambda p: F.from_json(F.to_json(F.struct(F.concat(F.lit(prefix.rstrip("/") + "/"), F.regexp_extract(p, r"([^/]*)$", 1)).alias("href"), F.lit("image/tiff; application=geotiff").alias("type"), F.array(F.lit("data")).alias("roles"))), kind)
+    named = F.filter(F.col("band_files"), lambda p: band(p) != "")
+    more = F.map_from_entries(F.transform(named, lambda p: F.struct(band(p), entry(p))))
+    return items.withColumn("assets", F.map_concat("assets", more)).drop("band_files")
+
+
+def conformance(assets: DataFrame, required: Sequence[str], area: Sequence[float] | None = None, least_cover: float = 0.95) -> dict:
+    """Scores of flat assets (kind, cloud_cover, timestamp, bbox): must_have 50, clouds 20, dates 20, coverage 10.
+
+    Without a required kind the total is 0. Clouds count for kind s2 if that is required, averaged over
+    assets; unknown gives 10. Three dates are enough. Coverage is of the assets' distinct boxes, which a
+    catalog search for one area bounds; without an area or boxes it counts as full.
+    """
+    when = F.col("timestamp").try_cast("timestamp")
+    row = assets.agg(F.collect_set("kind").alias("kinds"), F.avg(F.when(F.col("kind") == "s2", F.col("cloud_cover"))).alias("cloud"), F.countDistinct(F.to_date(when)).alias("dates"), F.collect_set("bbox").alias("boxes")).first()
+    lacking = [k for k in required if k not in row.kinds]
+    if lacking:
+        return {"total": 0, "missing_kinds": lacking}
+    cloud = 20 if "s2" not in required else 10 if row.cloud is None else 20 if row.cloud < 10 else 10 if row.cloud <= 30 else 0
+    cover = covered_share([b for b in row.boxes if b], area) if area and row.boxes else 1.0
+    scores = {"must_have": 50, "cloud": cloud, "dates": 20 if row.dates >= 3 else 0, "coverage": 10 if cover >= least_cover else 0}
+    return {"total": sum(scores.values()), **scores}

@@ -167,7 +167,7 @@ def containing(points: DataFrame, regions: DataFrame, share: int = 4000, load: i
 
     def search(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         at, of = locate(*[p[c].to_numpy() for c in ("lon", "lat")], *[r[c].to_numpy() for c in ("west", "south", "east", "north")])
-        return pd.DataFrame({"key": p["key"].to_numpy()[at], "region": r["region"].to_numpy()[of]}).drop_duplicates()
+        return pd.DataFrame({"key": p["key"].to_numpy(object)[at], "region": r["region"].to_numpy(object)[of]}, dtype=object).drop_duplicates()
 
     kinds = ", ".join(f"{c} {t.simpleString()}" for c, t in (("key", points.schema["key"].dataType), ("region", regions.schema["region"].dataType)))
     found = probes.groupBy("deal", "split").cogroup(pieces.groupBy("deal", "split")).applyInPandas(search, kinds)

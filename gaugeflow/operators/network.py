@@ -58,6 +58,15 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> Dat
     return nodes.select("node").distinct().join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def require_connected(dates: DataFrame, pairs: DataFrame) -> None:
+    """Raise unless the pairs (ref, rep) join all dates (date); the message names the first ten cut off."""
+    found = components(dates.select(F.unix_date("date").alias("node")), pairs.select(F.unix_date("ref").alias("a"), F.unix_date("rep").alias("b")))
+    main = found.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1)
+    cut_off = found.join(main.select("component"), "component", "left_anti").select(F.date_from_unix_date("node").alias("date")).orderBy("date").limit(10)
+    if names := [str(r.date) for r in cut_off.collect()]:
+        raise ValueError(f"the network is not connected; cut off: {', '.join(names)}")
+
+
 def network_grid(dates: DataFrame, days: Sequence[int], metres: Sequence[float]) -> DataFrame:
     """(days, metres, n_pairs, n_components) of each combination of thresholds."""
     spark = dates.sparkSession

@@ -89,3 +89,18 @@ def hillside(cells: DataFrame, value: str, cell_m: float = 1.0) -> DataFrame:
 
     cells = cells.withColumns({"_dy": gradient(value, ["col"], "row") / cell_m, "_dx": gradient(value, ["row"], "col") / cell_m})
     return cells.withColumn("slope_deg", slope_degrees(F.coalesce("_dx", F.lit(0.0)), F.coalesce("_dy", F.lit(0.0)))).drop("_dx", "_dy")
+
+
+def sampled(cells: DataFrame, points: DataFrame, value: str = "value") -> DataFrame:
+    """points (y, x in cells, fractions allowed) with value: bilinear between the four cells around.
+
+    A point whose four cells aren't all there is null. Each point asks for four cells by one equi-join.
+    """
+    row, col = F.floor("y"), F.floor("x")
+    fy, fx = F.col("y") - row, F.col("x") - col
+    corners = [(0, 0, (1 - fy) * (1 - fx)), (0, 1, (1 - fy) * fx), (1, 0, fy * (1 - fx)), (1, 1, fy * fx)]
+    asked = F.explode(F.array(*[F.struct((row + i).alias("row"), (col + j).alias("col"), w.alias("w")) for i, j, w in corners]))
+    rows = points.withColumn("_id", F.struct(*points.columns)).select("_id", asked.alias("_c")).select("_id", "_c.*").filter("w > 0")
+    grid = cells.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col(value).alias("_v"))
+    found = rows.join(grid, ["row", "col"], "left").groupBy("_id").agg(F.sum(F.col("w") * F.col("_v")).alias(value), F.bool_and(F.col("_v").isNotNull()).alias("_all"))
+    return found.select("_id.*", F.when(F.col("_all"), F.col(value)).alias(value))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.functions import scores
+from gaugeflow.functions import geometry, scores
 from gaugeflow.functions.columns import normal_name
 from gaugeflow.operators import audit, catalog, features, insar, joins, network, quality, raster, risk, series
 from gaugeflow.sources import detect, scenes, text_files, weather
@@ -560,3 +560,18 @@ def solved_network(spark: SparkSession, folder: str) -> DataFrame:
 def water_bodies(spark: SparkSession, folder: str) -> DataFrame:
     mask = table(spark, folder, "events").filter("value > 60").select(F.floor(F.col("event_id") / 100).cast("int").alias("row"), (F.col("event_id") % 100).cast("int").alias("col"))
     return raster.labelled(mask)
+
+
+@query(f"""select distinct platform from {PH} where location.lat > 59.5 and location.lat - 59.5 < (location.lon + 60) * (1.5 / 60) and location.lat - 59.5 < (60 - location.lon) * (1.5 / 60)""")
+def points_in_area(spark: SparkSession, folder: str) -> DataFrame:
+    inside = geometry.in_polygon(F.col("location.lon"), F.col("location.lat"), [[(-60.0, 59.5), (60.0, 59.5), (0.0, 61.0)]])
+    return table(spark, folder, PH).filter(inside).select("platform").distinct()
+
+
+@query("""with g as (select event_id // 100 "row", event_id % 100 col, value from events), p as (select vec_id, 5 + 20 * abs(embedding[1])::double y, 5 + 20 * abs(embedding[2])::double x from embeddings)
+select vec_id, case when count(g.value) = 4 then round(sum(g.value * (case when "row" = floor(y) then 1 - (y - floor(y)) else y - floor(y) end) * (case when col = floor(x) then 1 - (x - floor(x)) else x - floor(x) end)), 4) end "value"
+from p left join g on "row" in (floor(y), floor(y) + 1) and col in (floor(x), floor(x) + 1) group by 1""")
+def bilinear_samples(spark: SparkSession, folder: str) -> DataFrame:
+    cells = table(spark, folder, "events").select(F.floor(F.col("event_id") / 100).alias("row"), (F.col("event_id") % 100).alias("col"), "value")
+    points = table(spark, folder, "embeddings").select("vec_id", (5 + 20 * F.abs(F.col("embedding")[0]).cast("double")).alias("y"), (5 + 20 * F.abs(F.col("embedding")[1]).cast("double")).alias("x"))
+    return raster.sampled(cells, points).select("vec_id", r("value", 4))
