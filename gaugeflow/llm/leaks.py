@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gaugeflow.llm.text import words
 
 #: Words hashed at a time; bounds the memory of a long document's bit counts.
-_STRETCH = 1 << 16
+_STRETCH = 1 << 14
 #: Characters of texts that are searched together.
 TOGETHER = 1 << 20
 #: Item windows in one broadcast (32 bytes each); more items are searched for in several passes.
@@ -38,14 +38,29 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_hash, words(text)), np.uint64)
 
 
+def _window_sums(bits: np.ndarray, n: int) -> np.ndarray:
+    """Sums of n rows from each row on, by sums of 1, 2, 4, ... rows."""
+    size = len(bits) - n + 1
+    part, width, done = bits, 1, 0
+    total = np.zeros((size, bits.shape[1]), bits.dtype)
+    while width <= n:
+        if n & width:
+            total += part[done : done + size]
+            done += width
+        if 2 * width <= n:
+            part = part[:-width] + part[width:]
+        width *= 2
+    return total
+
+
 def fingerprints(hashes: np.ndarray, window: int) -> np.ndarray:
     """SimHash of each window of words: bit i is set where most of the words' hashes have it set."""
     out = []
     for at in range(0, max(len(hashes) - window + 1, 0), _STRETCH):
         part = hashes[at : at + _STRETCH + window - 1]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-        sums = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0)])
-        out.append(np.packbits(2 * (sums[window:] - sums[:-window]) > window, axis=1).view(np.uint64).ravel())
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
+        sums = _window_sums(bits if window < 256 else bits.astype(np.int64), window)
+        out.append(np.packbits(sums > window // 2, axis=1).view(np.uint64).ravel())
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
