@@ -12,6 +12,7 @@ from gaugeflow.operators.instants import to_instants
 from gaugeflow.operators.nearby import boxes_of, containing, located, near_pairs
 from gaugeflow.operators.regular_grid import missing_slots, regular_series
 from gaugeflow.operators.spikes import flag_spikes
+from gaugeflow.session import cut
 from gaugeflow.sources.tables import table
 
 PH = "fakesite_phmeasurements_2025_cybele"
@@ -74,7 +75,8 @@ def p5_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    points = located(table(spark, folder, PH), "platform", "location")
+    # read once: both relations use the distinct places several times
+    points = cut(located(table(spark, folder, PH), "platform", "location"))
     near = near_pairs(points, NEAR_M)
     within = containing(points, boxes_of(table(spark, folder, "stac_items"), "id", "bbox"))
     near = near.select(F.lit("near").alias("relation"), "key_a", "key_b")
