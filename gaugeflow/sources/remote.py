@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ftplib
 import re
-import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -33,9 +32,10 @@ class _Reader(DataSourceReader):
 
 
 class RemoteFiles(DataSource):
-    """format('remote_files'): option addresses, one https or ftp address a line; user and password for ftp.
+    """format('remote_files'): option addresses, one https, ftp or sftp address a line; user, password, key_file.
 
-    An address that ends with / on ftp is a folder of which all files are read.
+    An address that ends with / on ftp or sftp is a folder of which all files are read. sftp needs paramiko
+    on the executors, and hosts that are known there.
     """
 
     @classmethod
@@ -56,12 +56,14 @@ def fetch(address: str, options: dict[str, str]) -> Iterator[tuple[str, bytes |
     try:
         if parts.scheme == "ftp":
             yield from _ftp(parts, options)
+        elif parts.scheme == "sftp":
+            yield from _sftp(parts, options)
         elif parts.scheme in ("https", "http", "file"):
             with urllib.request.urlopen(address, timeout=TIMEOUT_S) as answer:  # noqa: S310
                 yield name, answer.read(), None
         else:
             yield name, None, f"unknown kind of address: {parts.scheme}"
-    except (OSError, urllib.error.URLError, *ftplib.all_errors) as error:
+    except Exception as error:  # noqa: BLE001 a failure of one address is told, whatever it is
         yield name, None, str(error)
 
 
@@ -78,6 +80,23 @@ def _ftp(parts: urllib.parse.ParseResult, options: dict[str, str]) -> Iterator[t
                 yield path.rsplit("/", 1)[-1], None, str(error)
 
 
+def _sftp(parts: urllib.parse.ParseResult, options: dict[str, str]) -> Iterator[tuple[str, bytes | None, str | None]]:
+    import stat
+
+    import paramiko
+
+    client = paramiko.SSHClient()
+    client.load_system_host_keys()
+    client.connect(parts.hostname or "", parts.port or 22, options.get("user"), options.get("password"), key_filename=options.get("key_file"), timeout=TIMEOUT_S)
+    with client, client.open_sftp() as files:
+        folder = parts.path.endswith("/")
+        for entry in files.listdir_attr(parts.path) if folder else [files.stat(parts.path)]:
+            path = parts.path + entry.filename if folder else parts.path
+            if stat.S_ISREG(entry.st_mode or 0):
+                with files.open(path) as source_file:
+                    yield path.rsplit("/", 1)[-1], source_file.read(), None
+
+
 def read_remote(spark: SparkSession, addresses: list[str], **options: str) -> DataFrame:
     spark.dataSource.register(RemoteFiles)
     return spark.read.format("remote_files").options(addresses="\n".join(addresses), **options).load()
@@ -89,8 +108,8 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source(kind: str):
-    """The reader of a kind of source: local, s3, https or ftp."""
-    readers = {"local": read_folder, "s3": read_folder, "https": read_remote, "ftp": read_remote}
+    """The reader of a kind of source: local, s3, https, ftp or sftp."""
+    readers = {"local": read_folder, "s3": read_folder, "https": read_remote, "ftp": read_remote, "sftp": read_remote}
     if kind not in readers:
         raise ValueError(f"unknown kind of source: {kind}")
     return readers[kind]

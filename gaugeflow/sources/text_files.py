@@ -28,6 +28,15 @@ def decode(content: bytes, encodings: Sequence[str] = ENCODINGS) -> tuple[str, s
     raise ValueError("no encoding fits")
 
 
+def lines_of(name: str, content: bytes, separator: str = ",") -> tuple[list[list[str]], str]:
+    """(lines, encoding) of a delimited file, or of the first sheet of a workbook if a reader is installed."""
+    if name.lower().endswith((".xls", ".xlsx")):
+        sheet = pd.read_excel(io.BytesIO(content), header=None, dtype=str).fillna("")
+        return sheet.to_numpy(object).tolist(), "workbook"
+    text, encoding = decode(content)
+    return [line for line in csv.reader(io.StringIO(text), delimiter=separator) if line], encoding
+
+
 def header_and_sample(content: bytes, rows: int = 5, separator: str = ",") -> tuple[list[str], list[list[str]]]:
     """The header and the first rows of a file's bytes."""
     lines = csv.reader(io.StringIO(decode(content)[0]), delimiter=separator)
@@ -38,8 +47,8 @@ def header_and_sample(content: bytes, rows: int = 5, separator: str = ",") -> tu
 def read_any_encoding(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """(path, line_no, encoding, cells, names): each line of each file below path as an array of texts.
 
-    Files are decoded where they are read, one at a time; one that can't be parsed gives one row with null
-    cells, an empty one none.
+    Files are decoded where they are read, one at a time; one that can't be parsed, such as a workbook without
+    an installed reader, gives one row with null cells, an empty one none.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -47,9 +56,8 @@ def read_any_encoding(spark: SparkSession, path: str, separator: str = ",") -> D
         for part in parts:
             for name, content in zip(part["path"], part["content"], strict=True):
                 try:
-                    text, encoding = decode(bytes(content))
-                    lines = [line for line in csv.reader(io.StringIO(text), delimiter=separator) if line]
-                except (ValueError, csv.Error):
+                    lines, encoding = lines_of(name, bytes(content), separator)
+                except (ValueError, csv.Error, ImportError, OSError):
                     lines, encoding = [], None
                 head, rest = (lines[0], lines[1:]) if lines else ([], [None])
                 for at in range(0, len(rest), 10_000):

@@ -29,6 +29,9 @@ def test_files_of_any_encoding(spark, tmp_path):
     got = {(r.path.rsplit("/", 1)[-1], r.line_no, r.encoding, tuple(r.cells or ()), tuple(r.names)) for r in text_files.read_any_encoding(spark, str(tmp_path)).collect()}
     assert ("b.csv", 1, "gbk", ("5", "6"), ("t", "测量")) in got
     assert len(got) == 3  # Spark passes over empty files
+    (tmp_path / "d.xlsx").write_bytes(b"no workbook")
+    broken = [r for r in text_files.read_any_encoding(spark, str(tmp_path)).collect() if r.path.endswith("d.xlsx")]
+    assert [(r.cells, r.encoding) for r in broken] == [(None, None)]
 
 
 def test_points_quality_and_times(spark, tmp_path):
@@ -48,7 +51,7 @@ def test_points_quality_and_times(spark, tmp_path):
 
 def test_remote_and_registry(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"hi")
-    found = {r.name: (r.content, r.error is None) for r in remote.read_remote(spark, [f"file://{tmp_path}/a.txt", f"file://{tmp_path}/none.txt", "gopher://x/y"]).collect()}
+    found = {r.name: (r.content, r.error is None) for r in remote.read_remote(spark, [f"file://{tmp_path}/a.txt", f"file://{tmp_path}/none.txt", "gopher://x/y", "sftp://localhost:1/a"]).collect()}
     assert bytes(found["a.txt"][0]) == b"hi"
     assert not found["none.txt"][1]
     assert remote.bucket_and_key("s3://b/k/x.csv") == ("b", "k/x.csv")
