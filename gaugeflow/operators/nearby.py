@@ -62,10 +62,17 @@ def near_pairs(points: DataFrame, distance_m: float) -> DataFrame:
 
     own = F.floor((F.col("lat") + 90) / band_deg)
     homes = boxes.select(*[F.col(c).alias(f"{c}_b") for c in boxes.columns], own.alias("band"), cell(own).alias("cell"))
-    around = F.array_distinct(F.flatten(F.array(*[F.array(*[F.struct((own + i).alias("band"), F.pmod(cell(own + i) + j, cells(own + i)).alias("cell")) for j in (-1, 0, 1)]) for i in (-1, 0, 1)])))
-    probes = boxes.select("*", F.explode(around).alias("_c")).select("*", "_c.*").drop("_c")
-    pairs = probes.join(homes, ["band", "cell"]).filter("key < key_b")
+    # each pair of cells once: a box looks into its own cell, the next one, and three of the next slab
+    steps = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+    ahead = F.array_distinct(F.array(*[F.struct((own + i).alias("band"), F.pmod(cell(own + i) + j, cells(own + i)).alias("cell")) for i, j in steps]))
+    probes = boxes.select("*", F.explode(ahead).alias("_c")).select("*", "_c.*").drop("_c")
+    pairs = probes.join(homes, ["band", "cell"]).filter("key != key_b")
     pairs = pairs.withColumn("_m", great_circle_m(F.col("lon"), F.col("lat"), F.col("lon_b"), F.col("lat_b"))).filter(F.col("_m") <= reach)
+    names = ("key", "bx", "by")
+    one, two = F.struct(*names), F.struct(*[F.col(f"{c}_b").alias(c) for c in names])
+    first = F.col("key") < F.col("key_b")
+    pairs = pairs.select(F.when(first, one).otherwise(two).alias("_1"), F.when(first, two).otherwise(one).alias("_2"), "_m")
+    pairs = pairs.select(*[F.col(f"_1.{c}") for c in names], *[F.col(f"_2.{c}").alias(f"{c}_b") for c in names], "_m")
     sure = F.col("_m") <= distance_m - 2 * _BOX_M
     # of two keys' boxes one sure pair is enough; without one, all pairs of boxes are looked into
     found = pairs.groupBy("key", "key_b").agg(F.max(sure).alias("sure"), F.collect_set(F.when(~sure, F.struct("bx", "by", "bx_b", "by_b"))).alias("open"))
@@ -157,7 +164,7 @@ def containing(points: DataFrame, regions: DataFrame, share: int = 4000, load: i
     probes = probes.join(crowds.select(key), key, "left_semi").join(crowded, key, "left")
     probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)))
     deal = F.pmod(F.xxhash64(*key, "part"), F.lit(deals))
-    probes = probes.withColumn("deal", deal).select("key", "lon", "lat", "deal").distinct()
+    probes = probes.withColumn("deal", deal).select("key", "lon", "lat", "deal")
     pieces = pieces.withColumn("deal", deal).select(*regions.columns, "deal").distinct()
     # one row for each deal, that is for each share of regions
     loads = {d: n for d, n in probes.groupBy("deal").count().filter(F.col("count") > load).collect()}
