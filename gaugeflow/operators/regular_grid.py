@@ -54,9 +54,10 @@ def missing_slots(messages: DataFrame, kinds: DataFrame, shard_slots: int = 4096
     a known type, null sources and texts that are no time have no slots. Repeated rows change nothing; an
     empty table gives an empty result.
     """
-    filled = _filled(messages, kinds, shard_slots)
+    # aggregated before it is sent by shard, so that a shard gets a row for each slot, however many messages fill it
+    filled = _filled(messages, kinds, shard_slots).groupBy("source", "period", "shard", "slot").agg(F.count_if("typed").alias("typed"))
     w = Window.partitionBy("source", "period", "shard").orderBy("slot")
-    edges = filled.withColumns({"_back": F.lag("slot").over(w), "_next": F.lead("slot").over(w), "_typed": F.count_if("typed").over(Window.partitionBy("source", "period", "shard"))})
+    edges = filled.withColumns({"_back": F.lag("slot").over(w), "_next": F.lead("slot").over(w), "_typed": F.sum("typed").over(Window.partitionBy("source", "period", "shard"))})
     edges = edges.filter("_back is null or _next is null or slot - _back > 1")
     # of a shard's rows only its ends and gaps are left; both uses below read them from the shared folder
     edges = cut(edges.select("source", "period", "shard", "slot", "_back", F.col("_next").isNull().alias("_last"), "_typed"))
