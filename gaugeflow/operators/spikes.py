@@ -25,10 +25,14 @@ def _frozen(rows: DataFrame, run: int, block_rows: int) -> DataFrame:
     """Distinct rows with frozen: the reading is one of at least run equal ones in a row."""
     blocks = rank_blocks(rows, ["_src", "_t", "_key"], block_rows, halo=run - 1, distinct=True)
     w = Window.partitionBy("block", "_src").orderBy("pos")
-    back = w.rowsBetween(1 - run, 0)
-    ends = (F.count("_v").over(back) == run) & (F.min("_v").over(back) == F.max("_v").over(back))
-    marked = blocks.withColumn("_ends", ends)
-    frozen = F.max("_ends").over(w.rowsBetween(0, run - 1))
+    # offsets instead of sliding frames: one value a row each, whatever the run's length
+    same = F.lit(True)
+    for i in range(1, run):
+        same = same & F.coalesce(F.lag("_v", i).over(w) == F.col("_v"), F.lit(False))
+    marked = blocks.withColumn("_ends", same)
+    frozen = F.col("_ends")
+    for i in range(1, run):
+        frozen = frozen | F.coalesce(F.lead("_ends", i).over(w), F.lit(False))
     return marked.withColumn("frozen", frozen).filter("core").select(*rows.columns, "frozen")
 
 
