@@ -2,10 +2,11 @@
 
 A sentence is the mean of its words' vectors, a word the mean of the vectors of itself and of its letter
 groups; each subject has its own logistic output. The labelled examples are few, so the classifier is fitted
-on a bounded sample of the corpus's sentences, labelled by words: a word's subjects spread from the examples
-to the words it stands with, and a sentence with two words of a subject is about it, while one with a single
-such word only mentions it. Fitting is synchronous: each round sends the parameters out, sums the gradients
-of all partitions and takes one step. Every document is scored.
+on the corpus's sentences, labelled by words: a word's subjects spread from the examples to the words it stands
+with, and a sentence with two words of a subject is about it, while one with a single such word only mentions
+it. Words are counted over the different own sentences of all documents; only the labelled sentences that the
+classifier is fitted on are a bounded sample. Fitting is synchronous: each round sends the parameters out, sums
+the gradients of all partitions and takes one step. Every document is scored.
 """
 
 from __future__ import annotations
@@ -19,27 +20,34 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.text import own_paragraphs, words
+from gaugeflow.session import cut
 
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 #: How many times as much evidence a word must have for its subject as for any other, by round of spreading.
 _TIMES = (1.5, 2.0, 2.5, 2.5, 2.5, 2.5)
 #: Least share of one subject in a word's examples; least share of its sentences that hold other evidence at all.
 _FIRST, _TOLD = 0.5, 0.25
-#: Words in fewer different sentences say nothing; nor do set phrases, of whose sentences fewer than this share differ.
-_RARE, _VARIED = 5, 0.1
+#: Words in fewer different sentences say nothing; nor do set phrases, of whose sentences fewer than this share differ,
+#: unless their repeats are spread as over this many equally frequent ones: the share falls as a corpus grows.
+_RARE, _VARIED, _EVEN = 5, 0.1, 10
 
 
 #: Characters of texts that are scored together.
 TOGETHER = 1 << 20
+#: Numbers of a table of words that may be broadcast; a larger one is joined by shuffles.
+_BROADCAST = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the sample that the classifier is fitted on, and its size; scoring has no bounds."""
+    """Bound of the labelled sentences that the classifier is fitted on, and its size; counts and scores have no bounds.
+
+    `sample_documents` bounds nothing any more: the labelled sentences are drawn from all documents.
+    """
 
     sample_documents: int = 20_000
     sample_sentences: int = 60_000
@@ -66,7 +74,10 @@ def _features(word: str, buckets: int) -> np.ndarray:
 
 
 def spread(examples: list[tuple[int, list[str]]], corpus: list[list[str]], subjects: int) -> dict[str, int]:
-    """word -> subject, spread from example sentences (subject, or subjects for none) to the corpus's words."""
+    """word -> subject, spread from example sentences (subject, or subjects for none) to the corpus's words.
+
+    On lists; `spread_over` gives the same over tables.
+    """
     index: dict[str, int] = {}
     for _, ws in examples:
         for w in ws:
@@ -79,18 +90,18 @@ def spread(examples: list[tuple[int, list[str]]], corpus: list[list[str]], subje
         for w in set(ws):
             seen[index[w], k] += 1
     seen = seen / np.maximum(seen.sum(0), 1) * seen.sum(0).mean()
-    times = np.zeros(len(index))
-    distinct = set()
+    distinct: dict[tuple[int, ...], int] = {}
     for ws in [ws for _, ws in examples] + corpus:
         one = tuple(sorted({index[w] for w in ws}))
-        times[[*one]] += 1
-        distinct.add(one)
+        distinct[one] = distinct.get(one, 0) + 1
     # a sentence that many repeat counts once: set phrases have no subject
     sets = sorted(distinct)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     col = np.fromiter((w for s in sets for w in s), np.int64)
+    repeats = np.array([distinct[s] for s in sets], float)[row]
+    times, squares = np.bincount(col, repeats, len(index)), np.bincount(col, repeats**2, len(index))
     often = np.bincount(col, minlength=len(index))
-    often = (often >= _RARE) & (often >= _VARIED * times)
+    often = (often >= _RARE) & ((often >= _VARIED * times) | (times**2 >= _EVEN * squares))
 
     def shares(counts: np.ndarray, more: float) -> np.ndarray:
         counts = counts + more / counts.shape[1]
@@ -229,28 +240,161 @@ class Scorer:
         return {s: p for _, s, p in self.many([text])}
 
 
-def _sample(documents: DataFrame, text: str, settings: Settings) -> list[list[str]]:
-    """Words of a bounded, hash-ordered sample of the corpus's own sentences."""
-    n = documents.count()
-    share = min(1.0, settings.sample_documents / n) if n else 1.0
-    turn = F.pmod(F.xxhash64(F.lit(settings.seed), text), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = documents.filter(F.col(text).isNotNull() & turn).select(F.col(text).alias("t"))
+def _sets(documents: DataFrame, text: str, given: list[tuple[int, list[str]]], seed: int) -> DataFrame:
+    """(i, words, s, n, given, h): the own sentences of all documents and the examples' sentences, each set of words once.
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    s is one of the sentences, n how many there are, h a hash of s; i numbers the sets.
+    """
+
+    def parts_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [" ".join(ws) for t in part["t"] for p in own_paragraphs(t) for ws in sentences(p)]
-            yield pd.DataFrame({"s": found})
+            yield pd.DataFrame({"s": [" ".join(ws) for t in part["t"] for p in own_paragraphs(t) for ws in sentences(p)]}, dtype=object)
 
-    found = rows.mapInPandas(cut, "s string")
-    kept = found.orderBy(F.xxhash64(F.lit(settings.seed), "s"), "s").limit(settings.sample_sentences)
-    return [row.s.split(" ") for row in kept.collect()]
+    rows = documents.filter(F.col(text).isNotNull()).select(F.col(text).alias("t"))
+    found = rows.mapInPandas(parts_of, "s string").select("s", F.lit(False).alias("given"))
+    own = documents.sparkSession.createDataFrame([(" ".join(ws), True) for _, ws in given], "s string, given boolean")
+    once = found.union(own).groupBy("s").agg(F.count("*").alias("n"), F.max("given").alias("given"))
+    key = F.sort_array(F.array_distinct(F.split("s", " "))).alias("words")
+    sets = once.groupBy(key).agg(F.min("s").alias("s"), F.sum("n").alias("n"), F.max("given").alias("given"))
+    # numbered after the cut, so that lost tasks number alike
+    return cut(sets.withColumn("h", F.xxhash64(F.lit(seed), "s"))).withColumn("i", F.monotonically_increasing_id())
+
+
+def _told_by(given: list[tuple[int, list[str]]], subjects: int) -> tuple[list[tuple], tuple]:
+    """Rows (word, evidence by subject, belief by subject, whether it stands) of the examples' words, and those of any other."""
+    index: dict[str, int] = {}
+    for _, ws in given:
+        for w in ws:
+            index.setdefault(w, len(index))
+    seen = np.zeros((len(index) + 1, subjects + 1))  # the last row is any other word's
+    for k, ws in given:
+        for w in set(ws):
+            seen[index[w], k] += 1
+    seen = seen / np.maximum(seen.sum(0), 1) * seen.sum(0).mean()
+    belief = seen + 2 / (subjects + 1)
+    belief = (belief / belief.sum(1, keepdims=True))[:, :subjects]
+    order = np.sort(belief, 1)
+    stands = (order[:, -1] >= _FIRST) & (order[:, -1] >= (2 * order[:, -2] if subjects > 1 else 0))
+    rows = [(w, *map(float, seen[j, :subjects]), *map(float, belief[j]), bool(stands[j])) for w, j in (*index.items(), ("", len(index)))]
+    return rows[:-1], rows[-1][1:]
+
+
+def _total(columns: list[Column]) -> Column:
+    return sum(columns[1:], columns[0])
+
+
+@dataclass
+class Spread:
+    """What `spread_over` gives; `close` frees what it keeps."""
+
+    stands: DataFrame
+    groups: DataFrame
+    cells: DataFrame
+    small: bool
+
+    def words(self, table: DataFrame) -> DataFrame:
+        """A table of words as the right side of a join."""
+        return F.broadcast(table) if self.small else table
+
+    def close(self) -> None:
+        self.cells.unpersist()
+        self.groups.unpersist()
+
+
+def spread_over(sets: DataFrame, given: list[tuple[int, list[str]]], subjects: int) -> Spread:
+    """`spread` over the table of `_sets`: counts of words and of words with subjects are aggregations over all rows.
+
+    stands has (w, k), the words and their subjects; groups (i, h, given, ws, others, open) the sets with the words
+    that can stand, the number of other words and whether a word is rare; cells (i, w, more) one row for each such word.
+    """
+    ks = range(subjects)
+    told, other = _told_by(given, subjects)
+    seen, belief = [f"e{k}" for k in ks], [f"b{k}" for k in ks]
+    names = [*seen, *belief, "stands"]
+    examples = sets.sparkSession.createDataFrame(told, ", ".join(["w string", *(f"{c} double" for c in seen + belief), "stands boolean"]))
+    words = sets.select(F.explode("words").alias("w"), "n").groupBy("w").agg(F.count("*").alias("often"), F.sum("n").alias("times"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    words = words.join(examples, "w", "left").select("w", "often", "times", "squares", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in zip(names, other, strict=True)))
+    # a sentence that many repeat counts once: set phrases have no subject
+    times = F.col("times").cast("double")
+    words = words.withColumn("varied", (F.col("often") >= _RARE) & ((F.col("often") >= _VARIED * times) | (times * times >= _EVEN * F.col("squares"))))
+    words = words.withColumn("known", F.col("times") >= _RARE).withColumn("can", F.col("varied") | F.col("stands"))
+    words = cut(words.filter("known or can"))
+    small = words.count() * (subjects + 1) <= _BROADCAST
+    joined = (lambda table: F.broadcast(table)) if small else (lambda table: table)
+
+    cells = sets.select("i", "h", "given", F.explode("words").alias("w")).join(joined(words.select("w", "known", "can")), "w", "left")
+    groups = cells.groupBy("i", "h", "given").agg(
+        F.collect_list(F.when(F.col("can"), F.col("w"))).alias("ws"), F.count("*").alias("others"), F.max(~F.coalesce("known", F.lit(False))).alias("open")
+    )
+    groups = groups.withColumn("others", F.col("others") - F.size("ws")).persist()
+    cells = groups.select("i", F.try_divide("others", F.size("ws")).alias("more"), F.explode("ws").alias("w"))
+    cells = cells.repartition("i").sortWithinPartitions("i").persist()
+
+    base = words.filter("can").select("w", "often", "varied", *seen)
+    state = words.filter("can").select("w", *belief, "stands")
+    sentence = Window.partitionBy("i")
+    for many in _TIMES:
+        votes = state.filter("stands").select("w", *(F.col(b).alias(f"v{k}") for k, b in enumerate(belief)))
+        voted = cells.join(joined(votes), "w", "left").select("i", "w", "more", *(F.coalesce(f"v{k}", F.lit(0.0)).alias(f"v{k}") for k in ks))
+        summed = voted.select("*", *(F.sum(f"v{k}").over(sentence).alias(f"s{k}") for k in ks))
+        # a word has no say about itself
+        summed = summed.withColumn("all", _total([F.col(f"s{k}") for k in ks])).withColumn("rest", _total([F.col(f"s{k}") - F.col(f"v{k}") for k in ks]))
+        part = [F.when(F.col("rest") > 0.3, (F.col(f"s{k}") - F.col(f"v{k}")) / F.col("rest")).otherwise(0.0) for k in ks]
+        # words that can't stand are told of as well: each word that can carries its share of them
+        more = [F.when(F.col("all") > 0.3, F.col("more") * F.col(f"s{k}") / F.col("all")).otherwise(0.0) for k in ks]
+        counts = summed.groupBy("w").agg(
+            *(F.sum(part[k]).alias(f"c{k}") for k in ks), *(F.sum(more[k]).alias(f"m{k}") for k in ks), F.sum(F.when(F.col("rest") > 0.3, 1).otherwise(0)).alias("evidence")
+        )
+        counts = cut(counts)
+        sizes = np.array(counts.agg(*(F.coalesce(F.sum(F.col(f"c{k}") + F.col(f"m{k}")), F.lit(0.0)) for k in ks)).first(), float)
+        # a subject that holds much of the corpus has no more say about the words of all subjects
+        scale = sizes.mean() / np.maximum(sizes, max(0.05 * sizes.mean(), 1e-9))
+        state = base.join(joined(counts), "w")
+        weights = [F.col(f"e{k}") + F.col(f"c{k}") * float(scale[k]) + 1 / subjects for k in ks]
+        state = state.withColumn("sum", _total(weights)).select("w", "often", "varied", "evidence", *((weights[k] / F.col("sum")).alias(f"b{k}") for k in ks))
+        order = F.sort_array(F.array(*belief), asc=False)
+        clear = order[0] >= many * order[1] if subjects > 1 else F.lit(True)
+        state = state.withColumn("stands", F.col("varied") & clear & (F.col("evidence") >= _RARE / 2) & (F.col("evidence") >= _TOLD * F.col("often")))
+    best = F.array_position(F.array(*belief), F.array_max(F.array(*belief))) - 1
+    stands = state.filter("stands").select("w", best.cast("int").alias("k"))
+    return Spread(stands, groups, cells, small)
+
+
+def _labelled(sets: DataFrame, given: list[tuple[int, list[str]]], subjects: int, settings: Settings) -> list[tuple[list[str], np.ndarray]]:
+    """Words and labels of a bounded, hash-ordered sample of the sentences that `label` doesn't leave open.
+
+    The examples' sentences are always taken. A subject that few sentences are about has at least its share of a
+    tenth of the sample, if there are so many.
+    """
+    ks = range(subjects)
+    spread = spread_over(sets, given, subjects)
+    try:
+        stands = cut(spread.stands)
+        counts = spread.cells.join(spread.words(stands), "w").groupBy("i").agg(*(F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"n{k}") for k in ks))
+        rows = spread.groups.join(counts, "i", "left").select("i", "h", "given", "open", F.array(*(F.coalesce(f"n{k}", F.lit(0)) for k in ks)).alias("ns"))
+        rows = rows.filter(~(F.col("open") & (F.array_max("ns") == 1)))
+        rows = rows.withColumn("ys", F.transform("ns", lambda n: n >= 2)).withColumn("kind", F.array_position("ys", True)).drop("ns", "open").persist()
+        try:
+            sizes = {r[0]: r[1] for r in rows.groupBy("kind").count().collect()}
+            n = sum(sizes.values())
+            least = settings.sample_sentences / 10 / (subjects + 1)
+            shares = [max(settings.sample_sentences / max(n, 1), least / max(sizes.get(kind, 0), 1)) for kind in range(subjects + 1)]
+            turn = (F.pmod("h", F.lit(1 << 30)) / (1 << 30)) / F.element_at(F.array(*map(F.lit, shares)), (F.col("kind") + 1).cast("int"))
+            turn = F.when(F.col("given"), -1.0).otherwise(turn)
+            kept = rows.withColumn("turn", turn).filter("turn < 1.2").join(sets.select("i", "s"), "i")
+            kept = kept.orderBy("turn", "s").limit(settings.sample_sentences + len(given)).select("s", "ys")
+            return [(r.s.split(" "), np.array(r.ys, np.float32)) for r in kept.collect()]
+        finally:
+            rows.unpersist()
+    finally:
+        spread.close()
 
 
 def fit(documents: DataFrame, examples: DataFrame, *, text: str = "text", example_text: str = "text", subject: str = "subject", settings: Settings | None = None) -> Model:
     """The classifier, from labelled examples (a bounded, fixed set; a null subject is none) and the corpus.
 
-    Without examples of any subject the model has no subjects. The driver holds the examples and the sample,
-    bounded by the settings, and the parameters (buckets times dimensions numbers).
+    Without examples of any subject the model has no subjects. The driver holds the examples and the labelled
+    sample, bounded by the settings, and the parameters (buckets times dimensions numbers).
     """
     settings = settings or Settings()
     spark = documents.sparkSession
@@ -262,15 +406,7 @@ def fit(documents: DataFrame, examples: DataFrame, *, text: str = "text", exampl
     if not k:
         return model
     given = sorted((subjects.index(s) if s is not None else k, ws) for s, t in labelled for ws in sentences(t))
-    corpus = _sample(documents, text, settings)
-    stands = spread(given, corpus, k)
-    everything = [ws for _, ws in given] + corpus
-    times: dict[str, int] = {}
-    for ws in everything:
-        for w in set(ws):
-            times[w] = times.get(w, 0) + 1
-    known = {w for w, n in times.items() if n >= _RARE}
-    rows = [(ws, y) for ws in everything if (y := label(ws, stands, known, k)) is not None]
+    rows = _labelled(_sets(documents, text, given, settings.seed), given, k, settings)
     shards = [Shard.of(part, settings.buckets) for i in range(settings.partitions) if (part := rows[i :: settings.partitions])]
     if not shards:
         return model

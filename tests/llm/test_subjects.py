@@ -97,3 +97,22 @@ def test_held_out_examples(spark):
     right = sum(set(scorer.subjects(r.text)) == ({r.subject} if r.subject else set()) for r in rows[::4])
     # a quarter of the few examples is held back; in this small corpus some words never get a subject
     assert right / len(rows[::4]) >= 0.8
+
+
+def test_counts_over_tables_are_those_over_lists(spark):
+    from gaugeflow.llm import subjects as s
+
+    posts = [t for t, _ in made(300, 5)] + ["Thanks in advance for any hint."] * 400 + ["[quote]A kettle.[/quote]\n\nMy kettle broke."]
+    names = sorted(WORDS)
+    given = sorted((names.index(r.subject) if r.subject else 2, ws) for r in examples(spark).distinct().collect() for ws in s.sentences(r.text))
+    corpus = [ws for t in posts for p in own_paragraphs(t) for ws in s.sentences(p)]
+    found = s.spread_over(s._sets(spark.createDataFrame([(t,) for t in posts], "text string"), "text", given, 1), given, 2)
+    assert {r.w: r.k for r in found.stands.collect()} == spread(given, corpus, 2)
+    found.close()
+
+
+def test_words_stand_however_often_a_corpus_repeats_its_sentences():
+    given = [(0, ["kettle", "leaf"]), (0, ["leaf", "kettle"]), (1, ["track", "signal"]), (1, ["signal", "track"])] * 4
+    corpus = [[a, b, f"{a[0]}{i}"] for a, b in (("kettle", "brew"), ("track", "siding")) for i in range(20)]
+    stands = spread(given, corpus * 50, 2)
+    assert (stands.get("kettle"), stands.get("track")) == (0, 1)
