@@ -360,11 +360,11 @@ def spread_over(sets: DataFrame, given: list[tuple[int, list[str]]], subjects: i
     return Spread(stands, groups, cells, small)
 
 
-def _labelled(sets: DataFrame, given: list[tuple[int, list[str]]], subjects: int, settings: Settings) -> list[tuple[list[str], np.ndarray]]:
-    """Words and labels of a bounded, hash-ordered sample of the sentences that `label` doesn't leave open.
+def _shards(sets: DataFrame, given: list[tuple[int, list[str]]], subjects: int, settings: Settings) -> DataFrame:
+    """(n, shard): a bounded, hash-ordered sample of the sentences that `label` doesn't leave open, as `Shard`s of n sentences.
 
     The examples' sentences are always taken. A subject that few sentences are about has at least its share of a
-    tenth of the sample, if there are so many.
+    tenth of the sample, if there are so many. The sample stays on the executors.
     """
     ks = range(subjects)
     spread = spread_over(sets, given, subjects)
@@ -383,21 +383,31 @@ def _labelled(sets: DataFrame, given: list[tuple[int, list[str]]], subjects: int
             turn = F.when(F.col("given"), -1.0).otherwise(turn)
             kept = rows.withColumn("turn", turn).filter("turn < 1.2").join(sets.select("i", "s"), "i")
             kept = kept.orderBy("turn", "s").limit(settings.sample_sentences + len(given)).select("s", "ys")
-            return [(r.s.split(" "), np.array(r.ys, np.float32)) for r in kept.collect()]
+            return cut(kept.repartition(settings.partitions, "s").sortWithinPartitions("s").mapInPandas(_gather(settings.buckets), "n bigint, shard binary"))
         finally:
             rows.unpersist()
     finally:
         spread.close()
 
 
+def _gather(buckets: int):
+    """One shard of all rows (s, ys) of a partition, which holds its part of the bounded sample."""
+
+    def gather(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(s.split(" "), np.array(ys, np.float32)) for part in parts for s, ys in zip(part["s"], part["ys"], strict=True)]
+        if rows:
+            yield pd.DataFrame({"n": [len(rows)], "shard": [pickle.dumps(Shard.of(rows, buckets))]})
+
+    return gather
+
+
 def fit(documents: DataFrame, examples: DataFrame, *, text: str = "text", example_text: str = "text", subject: str = "subject", settings: Settings | None = None) -> Model:
     """The classifier, from labelled examples (a bounded, fixed set; a null subject is none) and the corpus.
 
-    Without examples of any subject the model has no subjects. The driver holds the examples and the labelled
-    sample, bounded by the settings, and the parameters (buckets times dimensions numbers).
+    Without examples of any subject the model has no subjects. The driver holds the examples and the parameters
+    (buckets times dimensions numbers); the labelled sample, bounded by the settings, stays on the executors.
     """
     settings = settings or Settings()
-    spark = documents.sparkSession
     labelled = [(r[0], r[1]) for r in examples.select(subject, example_text).filter(F.col(example_text).isNotNull()).distinct().collect()]
     subjects = sorted({s for s, _ in labelled if s is not None})
     k = len(subjects)
@@ -406,15 +416,10 @@ def fit(documents: DataFrame, examples: DataFrame, *, text: str = "text", exampl
     if not k:
         return model
     given = sorted((subjects.index(s) if s is not None else k, ws) for s, t in labelled for ws in sentences(t))
-    rows = _labelled(_sets(documents, text, given, settings.seed), given, k, settings)
-    shards = [Shard.of(part, settings.buckets) for i in range(settings.partitions) if (part := rows[i :: settings.partitions])]
-    if not shards:
-        return model
-    data = spark.createDataFrame([(i, pickle.dumps(s)) for i, s in enumerate(shards)], "i int, shard binary").repartition(len(shards), "i").persist()
-    try:
-        _descend(model, data, len(rows), settings)
-    finally:
-        data.unpersist()
+    shards = _shards(_sets(documents, text, given, settings.seed), given, k, settings)
+    n = shards.agg(F.sum("n")).first()[0]
+    if n:
+        _descend(model, shards, n, settings)
     return model
 
 
@@ -432,7 +437,7 @@ def _descend(model: Model, data: DataFrame, n: int, settings: Settings) -> None:
                 yield pd.DataFrame({"g": [pickle.dumps(pickle.loads(s).gradient(sent.value)) for s in part["shard"]]})  # noqa: S301 own data
 
         grads = [np.zeros_like(p) for p in parameters]
-        for row in data.mapInPandas(slope, "g binary").collect():  # one row a partition, of at most 2 MB
+        for row in data.select("shard").mapInPandas(slope, "g binary").collect():  # one row a partition, of at most 2 MB
             there, vectors, outputs, biases, _ = pickle.loads(row.g)  # noqa: S301 own data
             grads[0][there] += vectors / n
             grads[1] += outputs / n
