@@ -54,3 +54,55 @@ def test_fingerprints_over_stretches():
     whole = fingerprints(h, 12)
     assert len(whole) == len(h) - 11
     assert (whole[65_530:65_545] == fingerprints(h[65_530:65_556], 12)).all()
+
+
+def changed(ws, how, random, one_in=11):
+    """ws with one word in one_in replaced, dropped or swapped with the next."""
+    out = list(ws)
+    for at in range(random.integers(0, one_in), len(ws) - 1, one_in):
+        if how == "replaced":
+            out[at] = f"other{random.integers(0, 10**6)}"
+        elif how == "dropped":
+            out[at] = ""
+        else:
+            out[at], out[at + 1] = out[at + 1], out[at]
+    return " ".join(w for w in out if w)
+
+
+def planted(how, one_in, n=300):
+    random = np.random.default_rng(5)
+    items = [(i, " ".join(f"v{random.integers(0, 4000)}" for _ in range(40))) for i in range(n)]
+    noise = lambda: " ".join(f"v{random.integers(0, 4000)}" for _ in range(60))
+    docs = [(i, f"{noise()} {changed(t.split(), how, random, one_in)} {noise()}") for i, t in items]
+    return docs + [(n + j, noise()) for j in range(200)], items
+
+
+def test_passages_with_changed_words(spark):
+    for how in ("replaced", "dropped", "swapped"):
+        docs, items = planted(how, 11)
+        got = leaks(spark, docs, items, shingle=1, similar=0.7, near_radius=16)
+        right = sum(got.get((i, i)) is not None for i, _ in items)
+        assert right >= 0.9 * len(items), how
+        assert right >= 0.99 * len(got), how
+
+
+def test_near_passages_are_those_of_brute_force():
+    """Whole items against all stretches of a text, without fingerprints."""
+    docs, items = planted("replaced", 11, 60)
+    index = Index(items, 12, 3, 1, near_radius=16)
+    found = {(t, i): s for t, i, s, exact in index.search([t for _, t in docs], 0.7) if not exact}
+    assert found.keys() <= {(i, i) for i, _ in items}
+    brute = {}
+    for t, text in docs[: len(items)]:
+        own, h = word_hashes(text), word_hashes(items[t][1])
+        brute[t, t] = max(index.similarity(own[p : p + len(h)], h) for p in range(len(own) - len(h) + 1))
+    brute = {k: s for k, s in brute.items() if s >= 0.7}
+    assert len(brute) > 50 and len(brute.keys() & found.keys()) >= 0.95 * len(brute)
+    assert all(found[k] >= brute[k] - 1e-6 for k in brute.keys() & found.keys())
+
+
+def test_joins_give_the_same_as_the_broadcast_index(spark):
+    docs, items = planted("replaced", 11, 30)
+    docs += [(900, items[0][1]), (901, "x y " + " ".join(items[1][1].split()[3:20])), (902, items[0][1]), (None, items[2][1])]
+    for more in ({}, {"shingle": 1, "similar": 0.7, "near_radius": 12}):
+        assert leaks(spark, docs, items, item_windows=10, **more) == leaks(spark, docs, items, **more)
