@@ -117,16 +117,21 @@ class Rung:
     def __init__(self, window: int, radius: int, prints: np.ndarray, starts: np.ndarray):
         self.window, self.radius, self.prints, self.starts = window, radius, prints, starts
         self.sorted = []
-        for _, values in _blocks(prints, radius):
+        for bits, values in _blocks(prints, radius):
             order = np.argsort(values, kind="stable").astype(np.int32)
-            self.sorted.append((values[order], order))
+            # where each value of a short block begins, else the values themselves
+            ends = np.searchsorted(values[order], np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32) if bits <= 16 else values[order]
+            self.sorted.append((ends, order))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (document window, item window) pairs whose fingerprints differ in at most radius bits."""
         distinct, back = np.unique(prints, return_inverse=True)
         pairs = [np.empty((0, 2), np.int64)]
-        for (values, order), (_, own) in zip(self.sorted, _blocks(distinct, self.radius), strict=True):
-            first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        for (values, order), (bits, own) in zip(self.sorted, _blocks(distinct, self.radius), strict=True):
+            if bits <= 16:
+                first, last = values[own.astype(np.int64)].astype(np.int64), values[own.astype(np.int64) + 1]
+            else:
+                first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
             ends = np.cumsum(last - first)
             # some at a time, so that crowded blocks need no more memory
             begin = 0
@@ -152,7 +157,7 @@ class Rung:
 class Index:
     """The items' words, the weights of their shingles, and a `Rung` for each length of window."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], window: int, radius: int, shingle: int, near_radius: int = 8, weights: tuple[np.ndarray, np.ndarray, float] | None = None):
+    def __init__(self, items: Sequence[tuple[int, str]], window: int, radius: int, shingle: int, near_radius: int = 7, weights: tuple[np.ndarray, np.ndarray, float] | None = None):
         self.window, self.shingle = window, shingle
         hashes = [word_hashes(text) for _, text in items]
         self.ids = np.array([i for i, _ in items], np.int64)
@@ -246,7 +251,7 @@ def find_leaks(
     item_text: str = "text",
     window: int = 12,
     radius: int = 3,
-    near_radius: int = 8,
+    near_radius: int = 7,
     shingle: int = 5,
     similar: float = 0.8,
     item_windows: int = ITEM_WINDOWS,
