@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 
 from gaugeflow.functions import scores
@@ -107,18 +108,50 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)} | {200: 200}
 
 
-def test_repair_golden():
-    import pandas as pd
+PAIR = "ref date, rep date, baseline double, duration int, pair string"
 
-    dates = [dt.date(2026, 1, 1), dt.date(2026, 1, 13), dt.date(2026, 6, 1)]
-    pairs = pd.DataFrame([(dates[0], dates[1], 10.0, 12, "a b")], columns=["ref", "rep", "baseline", "duration", "pair"])
-    more = pd.DataFrame([(dates[1], dates[2], 60.0, 139, "b c"), (dates[0], dates[2], 90.0, 151, "a c")], columns=pairs.columns)
-    whole, bridges, dropped = network.repair(dates, pairs, more, max_days=36, max_metres=80)
-    assert (len(whole), bridges, dropped) == (2, ["b c"], [])
-    whole, bridges, dropped = network.repair(dates, pairs, more, max_days=36, max_metres=80, max_bridge=50, max_dropped=0.5)
-    assert (len(whole), bridges, dropped) == (1, [], [dates[2]])
+
+def test_repair_golden(spark):
+    days = [dt.date(2026, 1, 1), dt.date(2026, 1, 13), dt.date(2026, 6, 1)]
+    dates = spark.createDataFrame([(d,) for d in [*days, days[0], None]], "date date")
+    pairs = spark.createDataFrame([(days[0], days[1], 10.0, 12, "a b")], PAIR)
+    more = spark.createDataFrame([(days[1], days[2], 60.0, 139, "b c"), (days[0], days[2], 90.0, 151, "a c")], PAIR)
+    repaired = lambda **k: [[tuple(r) for r in df.collect()] for df in network.repair(dates, pairs, more, max_days=36, max_metres=80, **k)]
+    whole, added, dropped = repaired()
+    assert (len(whole), [r[4] for r in added], dropped) == (2, ["b c"], [])
+    whole, added, dropped = repaired(max_bridge=50, max_dropped=0.5)
+    assert (len(whole), added, dropped) == (1, [], [(days[2],)])
     with pytest.raises(ValueError):
         network.repair(dates, pairs, more, max_days=36, max_metres=80, max_bridge=50)
+    none = [df.count() for df in network.repair(dates.limit(0), pairs.limit(0), more.limit(0), max_days=36, max_metres=80)]
+    assert none == [0, 0, 0]
+
+
+def test_bridges_are_those_of_one_at_a_time(spark):
+    """Random networks against the cheapest-first choice, one pair after the other, with ties in cost."""
+    random = np.random.default_rng(3)
+    for _ in range(3):
+        days = [dt.date(2026, 1, 1) + dt.timedelta(days=int(i) * 12) for i in range(24)]
+        every = [(a, b, float(random.integers(-5, 6)) * 40, (b - a).days, f"{a} {b}") for i, a in enumerate(days) for b in days[i + 1 :]]
+        pairs, more = every[::23], every
+        group = {d: d for d in days}
+        def merge(a, b):
+            x, y = group[a], group[b]
+            for d in days:
+                group[d] = x if group[d] == y else group[d]
+            return x != y
+        for r in pairs:
+            merge(r[0], r[1])
+        wanted = [r[4] for r in sorted(more, key=lambda r: (r[3] / 36 + abs(r[2]) / 80, r[0], r[1])) if abs(r[2]) <= 160 and merge(r[0], r[1])]
+        found = network.bridges(spark.createDataFrame([(d,) for d in days], "date date"), spark.createDataFrame(pairs, PAIR), spark.createDataFrame(more, PAIR), max_days=36, max_metres=80, max_bridge=160)
+        assert sorted(r.pair for r in found.collect()) == sorted(wanted)
+
+
+def test_components_of_a_range(spark):
+    """Edges and nodes of one plan with column statistics; a chain longer than any number of rounds."""
+    r = spark.range(400)
+    found = network.components(r.select(F.col("id").alias("node")), r.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).filter("b < 400"))
+    assert [tuple(x) for x in found.groupBy("component").count().collect()] == [(0, 400)]
 
 
 def test_labels_by_size(spark):
