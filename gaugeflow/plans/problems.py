@@ -45,19 +45,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cases.select("record_id", "ordinal", F.round(F.col("value") * 10).cast("bigint").alias("value_tenths")).distinct()
 
 
+def _instants(spark: SparkSession, folder: str, distinct: bool) -> DataFrame:
+    slope = table(spark, folder, "slope_readings").select(F.lit("slope_readings").alias("source_table"), F.lit("timestamp").alias("field_name"), "platform", F.col("reading_id").alias("row_key"), F.col("timestamp").alias("text"), "logger_tz")
+    items = table(spark, folder, "stac_items").select("item_no", "properties.platform", F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"properties.{c}").alias("text")) for c in ("start_datetime", "end_datetime")])).alias("_f"))
+    items = items.select(F.lit("stac_items").alias("source_table"), "_f.field_name", "platform", F.col("item_no").alias("row_key"), "_f.text", F.lit(None).cast("string").alias("logger_tz"))
+    # the three fields are read together; a source is a platform in one field, a key a row of a table
+    rows = slope.unionByName(items).withColumns({"source": F.to_json(F.struct("field_name", "platform")), "key": F.struct("source_table", "field_name", "platform", "row_key")})
+    found = to_instants(rows, source="source", key="key", text="text", zone="logger_tz", distinct=distinct)
+    return found.select("key.source_table", "key.field_name", F.col("key.platform").alias("source"), F.col("key.row_key").alias("key"), "text", "utc_us", "form", "posterior", "status")
+
+
 def p4_instants(spark: SparkSession, folder: str) -> DataFrame:
-    slope = to_instants(table(spark, folder, "slope_readings"), source="platform", key="reading_id", text="timestamp", zone="logger_tz")
-    items = table(spark, folder, "stac_items")
-    parts = [slope.select(F.lit("slope_readings").alias("source_table"), F.lit("timestamp").alias("field_name"), "*")]
-    for name in ("start_datetime", "end_datetime"):
-        flat = items.select("item_no", F.col("properties.platform").alias("platform"), F.col(f"properties.{name}").alias(name))
-        found = to_instants(flat, source="platform", key="item_no", text=name)
-        parts.append(found.select(F.lit("stac_items").alias("source_table"), F.lit(name).alias("field_name"), "*"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _instants(spark, folder, distinct=True)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    cases = p4_instants(spark, folder).filter("status = 'converted'")
+    cases = _instants(spark, folder, distinct=False).filter("status = 'converted'")
     return cases.select("source_table", "field_name", F.col("key").alias("row_key"), "utc_us").distinct()
 
 

@@ -1,8 +1,9 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 
-from gaugeflow.operators.instants import NAMES, fit_mixture, to_instants
+from gaugeflow.operators.instants import NAMES, _valid, fit_mixture, fit_mixtures, to_instants
 
 SCHEMA = "src string, k bigint, t string, tz string, form string"
 
@@ -39,6 +40,10 @@ CASES = [
     ("", None, None, "none"),
     (None, None, None, "none"),
     ("9" * 10_000, None, None, "none"),
+    (" " * 60 + "2024-03-01T10:00:00Z" + " " * 60, None, utc(2024, 3, 1, 10), "converted"),
+    ("315532800", None, utc(1980, 1, 1), "converted"),
+    ("126230400000", None, utc(1974, 1, 1), "converted"),
+    ("86400", None, utc(1970, 1, 2), "converted"),
 ]
 
 
@@ -65,3 +70,28 @@ def test_mixture_prefers_the_forms_of_the_source():
     assert posterior[0] > 0.9
     form, posterior = fit_mixture([both], [10])
     assert posterior[0] == pytest.approx(0.5)
+
+
+def test_a_source_decides_between_day_and_month(spark):
+    """Without the rule, texts that fit one order only choose for those that fit both; else these are marked."""
+    month = [("A", i, f"{m}/{d}/2024 10:00", None, "") for i, (m, d) in enumerate((m, d) for m in range(1, 13) for d in range(13, 29))]
+    both = [(s, 1000 + i, f"0{i}/0{i + 1}/2024 10:00", None, "") for s in "AB" for i in range(1, 6)]
+    df = spark.createDataFrame(month + both + [("B", 2000, "2024-01-02T10:00Z", None, "")], SCHEMA)
+    ruled = {(r.source, r.key): (r.utc_us, r.status) for r in to_instants(df, source="src", key="k", text="t").collect()}
+    free = {(r.source, r.key): (r.utc_us, r.status) for r in to_instants(df, source="src", key="k", text="t", unlikely=0.0).collect()}
+    for i in range(1, 6):
+        assert ruled["A", 1000 + i] == ruled["B", 1000 + i] == (utc(2024, i + 1, i, 10), "converted")
+        assert free["A", 1000 + i] == (utc(2024, i, i + 1, 10), "converted")
+        assert free["B", 1000 + i] == (None, "ambiguous")
+    assert free["B", 2000] == ruled["B", 2000] == (utc(2024, 1, 2, 10), "converted")
+    assert {k: v for k, v in free.items() if k[1] < 1000} == {k: v for k, v in ruled.items() if k[1] < 1000}
+
+
+def test_many_sources_at_once_are_as_each_alone():
+    random = np.random.default_rng(1)
+    sets = random.integers(1, 1 << len(NAMES), (20, 5))
+    counts = random.integers(1, 100, (20, 5)).astype(float)
+    together = fit_mixtures(_valid(sets), counts, -2.0)
+    for s, n, p in zip(sets, counts, together, strict=True):
+        form, posterior = fit_mixture(s.tolist(), n.tolist(), -2.0)
+        assert np.abs(p.max(1) - posterior).max() < 1e-3
