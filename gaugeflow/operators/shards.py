@@ -45,7 +45,12 @@ def rank_blocks(df: DataFrame, order: Sequence[str], block_rows: int, halo: int,
         offsets.append((part, total))
         total += n
     at = df.sparkSession.createDataFrame(offsets, "_part bigint, _offset bigint")
-    pos = F.col("_offset") + F.col("_row")
+    placed = flat.join(F.broadcast(at), "_part").withColumn("pos", F.col("_offset") + F.col("_row"))
+    return _in_blocks(placed, df.columns, block_rows, halo)
+
+
+def _in_blocks(placed: DataFrame, columns: Sequence[str], block_rows: int, halo: int) -> DataFrame:
+    """Rows with a global pos, each in its block and as a copy in the neighbour's if it is near the edge."""
     rest = F.pmod(F.col("pos"), F.lit(block_rows))
     home = F.floor(F.col("pos") / block_rows)
 
@@ -53,7 +58,22 @@ def rank_blocks(df: DataFrame, order: Sequence[str], block_rows: int, halo: int,
         return F.when(when, F.struct((home + step).alias("block"), F.lit(step == 0).alias("core")))
 
     copies = F.array_compact(F.array(copy(0, F.lit(True)), copy(-1, (rest < halo) & (home > 0)), copy(1, rest >= block_rows - halo)))
-    return flat.join(F.broadcast(at), "_part").withColumn("pos", pos).select("*", F.explode(copies).alias("_c")).select(*df.columns, "pos", "_c.block", "_c.core")
+    return placed.select("*", F.explode(copies).alias("_c")).select(*columns, "pos", "_c.block", "_c.core")
+
+
+def thinned_blocks(blocks: DataFrame, keep: Column, columns: Sequence[str], block_rows: int, halo: int) -> tuple[DataFrame, DataFrame]:
+    """(all core rows, those that keep is true for in blocks of their own): rows of rank_blocks() with keep already known.
+
+    The kept rows hold the order of the first sort: they are counted by block and numbered within, so that no
+    second sort over the cluster is needed. blocks is written once and read twice.
+    """
+    within = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks.withColumn("_keep", F.when(F.col("core") & keep, 1).otherwise(0)).withColumn("_nth", F.sum("_keep").over(within))
+    rows = cut(rows.filter("core").select(*columns, "block", "_keep", "_nth"))
+    counts = rows.groupBy("block").agg(F.sum("_keep").alias("_n"))
+    upto = running_total(counts, [], ["block"], "_n", "_upto").select("block", (F.col("_upto") - F.col("_n")).alias("_before"))
+    placed = rows.filter("_keep = 1").join(upto, "block").withColumn("pos", F.col("_before") + F.col("_nth") - 1)
+    return rows.select(*columns), _in_blocks(placed, columns, block_rows, halo)
 
 
 def running_total(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:

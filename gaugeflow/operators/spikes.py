@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.shards import rank_blocks
+from gaugeflow.operators.shards import rank_blocks, thinned_blocks
 
 #: Quartile distance of a normal distribution in standard deviations.
 _QUARTILES = 1.349
@@ -22,18 +22,14 @@ def _median(values: list[Column]) -> Column:
 
 
 def _frozen(rows: DataFrame, run: int, block_rows: int) -> DataFrame:
-    """Distinct rows with frozen: the reading is one of at least run equal ones in a row."""
-    blocks = rank_blocks(rows, ["_src", "_t", "_key"], block_rows, halo=run - 1, distinct=True)
+    """Distinct rows in blocks with frozen: the reading is one of at least run equal ones in a row."""
+    blocks = rank_blocks(rows, ["_src", "_t", "_key"], block_rows, halo=run - 1, distinct=True).repartition("block")
     w = Window.partitionBy("block", "_src").orderBy("pos")
-    # offsets instead of sliding frames: one value a row each, whatever the run's length
-    same = F.lit(True)
-    for i in range(1, run):
-        same = same & F.coalesce(F.lag("_v", i).over(w) == F.col("_v"), F.lit(False))
-    marked = blocks.withColumn("_ends", same)
-    frozen = F.col("_ends")
-    for i in range(1, run):
-        frozen = frozen | F.coalesce(F.lead("_ends", i).over(w), F.lit(False))
-    return marked.withColumn("frozen", frozen).filter("core").select(*rows.columns, "frozen")
+    # equal readings in a row have one number
+    other = F.coalesce(F.lag("_v").over(w) != F.col("_v"), F.lit(True)).cast("int")
+    runs = blocks.withColumn("_other", other).withColumn("_run", F.sum("_other").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_other")
+    size = F.count(F.lit(1)).over(Window.partitionBy("block", "_src", "_run"))
+    return runs.withColumn("frozen", size >= run).drop("_run")
 
 
 def flag_spikes(
@@ -50,6 +46,7 @@ def flag_spikes(
     reach: int = 7,
     factor: float = 8.0,
     resolution: float = 0.01,
+    fence: float | None = None,
     block_rows: int = 16384,
 ) -> DataFrame:
     """Implausible readings as (source, key, value, reason, level, scatter), each row once.
@@ -57,10 +54,13 @@ def flag_spikes(
     reason is 'range' (outside low..high), 'frozen' (one of at least run equal readings in a row) or
     'spike' (one of at most longest readings in a row that stand off by factor times the source's scatter
     from the level of the reach readings before and of those after). A level that changes for good is none.
+    Where fence is given there are two more, for readings without another reason: 'fence' (the distance to the
+    level around it lies more than fence quartile distances outside the source's quartiles) and 'rate' (the
+    change a day since the reading before lies so far above the quartiles of the source's changes).
 
-    The scatter of a source is the quartile distance of its readings about the level around them, from
-    approximate quantile sketches by source and hour of day (one hour for dates) that are merged over
-    partitions. Rows of range and frozen are set aside before levels and sketches.
+    Quartiles come from approximate quantile sketches by source and hour of day (one hour for dates) that are
+    merged over partitions; the scatter of a source is the quartile distance of its readings about their levels.
+    Rows of range and frozen are set aside before levels and sketches.
 
     Nulls: a null or NaN value is no reading; a null source is a source of its own; a null time sorts
     first. Ties in time go by key. Exact repeats of (source, time, key, value) count once. An empty table
@@ -70,15 +70,16 @@ def flag_spikes(
     number = F.col(value).cast("double")
     rows = df.select(F.col(source).alias("_src"), F.col(when).alias("_t"), F.col(key).alias("_key"), number.alias("_v"))
     rows = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    checked = _frozen(rows, run, block_rows)
+    blocks = _frozen(rows, run, block_rows)
     reason = F.when(~F.col("_v").between(low, high), "range").when(F.col("frozen"), "frozen")
-    checked = checked.withColumn("reason", reason).drop("frozen")
+    names = ["_src", "_t", "_key", "_v", "reason"]
+    checked, blocks = thinned_blocks(blocks.withColumn("reason", reason), F.col("reason").isNull(), names, block_rows, halo=reach + longest + 2)
     hard = checked.filter("reason is not null").withColumns({"level": F.lit(None).cast("double"), "scatter": F.lit(None).cast("double")})
-
-    good = checked.filter("reason is null").drop("reason")
-    blocks = rank_blocks(good, ["_src", "_t", "_key"], block_rows, halo=reach + longest + 2)
+    blocks = blocks.drop("reason")
     w = Window.partitionBy("block", "_src").orderBy("pos")
     near = {f"_p{i}": F.lag("_v", i).over(w) for i in range(1, reach + 1)} | {f"_n{i}": F.lead("_v", i).over(w) for i in range(1, reach + 1)}
+    if fence is not None:
+        near["_t_before"] = F.lag("_t").over(w)
     blocks = blocks.withColumns(near)
     past, coming = ([F.col(f"_{side}{i}") for i in range(1, reach + 1)] for side in "pn")
     blocks = blocks.withColumns({"_before": _median(past), "_after": _median(coming), "level": _median(past + coming)})
@@ -98,12 +99,27 @@ def flag_spikes(
     blocks = blocks.filter("core").withColumn("_spans", F.array_compact(F.array(*spans)))
     blocks = blocks.withColumn("_hour", F.hour("_t") if hourly else F.lit(0))
 
-    sketch = blocks.groupBy("_src", "_hour").agg(F.percentile_approx(F.col("_v") - F.col("level"), F.array(F.lit(0.25), F.lit(0.75)), F.lit(4000)).alias("_q"))
-    sketch = sketch.select("_src", "_hour", F.greatest((F.col("_q")[1] - F.col("_q")[0]) / _QUARTILES, F.lit(resolution / 2)).alias("scatter"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
-    maybe = blocks.filter(F.size("_spans") > 0).select("_src", "_hour", "_t", "_key", "_v", "level", "_spans", F.pmod(F.col("pos"), F.lit(_SALTS)).cast("int").alias("_salt"))
-    joined = maybe.join(sketch, (maybe._salt == sketch._salt) & (maybe._hour == sketch._hour) & maybe._src.eqNullSafe(sketch._src)).select(maybe["*"], "scatter")
+    quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(4000))
+    measures = {"_q": F.col("_v") - F.col("level")}
+    if fence is not None:
+        days = (F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_t_before").cast("timestamp"))) / 86_400_000_000
+        measures["_rq"] = F.abs(F.col("_v") - F.col("_p1")) / F.nullif(days, F.lit(0.0))
+    sketch = blocks.groupBy("_src", "_hour").agg(*[quartiles(m).alias(n) for n, m in measures.items()])
+    scatter = F.greatest((F.col("_q")[1] - F.col("_q")[0]) / _QUARTILES, F.lit(resolution / 2)).alias("scatter")
+    sketch = sketch.select("_src", "_hour", scatter, *measures, F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
+    asked = F.size("_spans") > 0 if fence is None else F.lit(True)
+    extra = [] if fence is None else [measures["_rq"].alias("_rate")]
+    maybe = blocks.filter(asked).select("_src", "_hour", "_t", "_key", "_v", "level", "_spans", *extra, F.pmod(F.col("pos"), F.lit(_SALTS)).cast("int").alias("_salt"))
+    joined = maybe.join(sketch, (maybe._salt == sketch._salt) & (maybe._hour == sketch._hour) & maybe._src.eqNullSafe(sketch._src)).select(maybe["*"], "scatter", *measures)
     limit = F.col("scatter") * factor
-    spikes = joined.filter(F.exists("_spans", lambda s: (s.calm < limit) & (s.off >= limit)))
+    reason = F.when(F.exists("_spans", lambda s: (s.calm < limit) & (s.off >= limit)), "spike")
+    if fence is not None:
+
+        def beyond(value: Column, q: str) -> Column:
+            width = F.greatest(F.col(q)[1] - F.col(q)[0], F.lit(resolution)) * fence
+            return (value < F.col(q)[0] - width) | (value > F.col(q)[1] + width)
+
+        reason = reason.when(beyond(F.col("_v") - F.col("level"), "_q"), "fence").when(beyond(F.col("_rate"), "_rq"), "rate")
     out = ["_src", "_key", "_v", "reason", "level", "scatter"]
-    found = hard.select(out).unionByName(spikes.withColumn("reason", F.lit("spike")).select(out))
+    found = hard.select(out).unionByName(joined.withColumn("reason", reason).filter("reason is not null").select(out))
     return found.toDF("source", "key", "value", "reason", "level", "scatter")

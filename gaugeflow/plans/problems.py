@@ -19,12 +19,16 @@ PH = "fakesite_phmeasurements_2025_cybele"
 NEAR_M = 250.0
 
 
+def _flags(spark: SparkSession, folder: str, fence: float | None) -> DataFrame:
+    return flag_spikes(table(spark, folder, PH), source="platform", when="measurement_date", key="id", value="ph", low=0, high=14, fence=fence)
+
+
 def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return flag_spikes(table(spark, folder, PH), source="platform", when="measurement_date", key="id", value="ph", low=0, high=14)
+    return _flags(spark, folder, fence=6.0)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p1_flags(spark, folder).select(F.col("key").alias("id")).filter("id is not null").distinct()
+    return _flags(spark, folder, fence=None).select(F.col("key").alias("id")).filter("id is not null").distinct()
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,3 +63,19 @@ def test_repeats_nulls_and_sources(spark):
     v[10] = 12.0
     data = series(v) * 2 + series(v, None, 1000)
     assert flags(spark, data) == {(10, "spike"), (1010, "spike")}
+
+
+def test_fences_and_rates(spark):
+    v = calm(120, 5)
+    v[100:104] = [x + 0.6 for x in v[100:104]]  # four in a row are no spike, but outside the fences
+    data = series(v)
+    # a slow climb that is quick at one place: ten readings a day there
+    climb = [round(7 + 0.004 * i + e, 3) for i, e in enumerate(np.random.default_rng(6).normal(0, 0.02, 80))]
+    data += [("B", (DAY + dt.timedelta(days=i * 10)), 1000 + i, x, "o") for i, x in enumerate(climb)]
+    quick = (DAY + dt.timedelta(days=401), 1080, round(climb[40] + 0.15, 3))
+    data.append(("B", quick[0], quick[1], quick[2], "o"))
+    plain, more = flags(spark, data), flags(spark, data, fence=6.0)
+    assert {k for k, r in more if r == "fence"} >= {100, 101, 102, 103} - {k for k, _ in plain}
+    assert (1080, "rate") in more
+    assert {(k, r) for k, r in more if r in ("range", "frozen", "spike")} == plain
+    assert len(more - plain) < 20
