@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.shards import rank_blocks, thinned_blocks
+from gaugeflow.session import cut
 
 #: Quartile distance of a normal distribution in standard deviations.
 _QUARTILES = 1.349
@@ -95,9 +96,13 @@ def flag_spikes(
             off = F.least(*[F.abs(at(i) - side) for i in range(-j, length - j) for side in (before, after)])
             calm = F.greatest(F.abs(at(-j - 1) - before), F.abs(at(length - j) - after))
             known = before.isNotNull() & after.isNotNull()
-            spans.append(F.when(known & (calm < off), F.struct(calm.alias("calm"), off.alias("off"))))
+            # no scatter is below half the resolution, so smaller distances are no spike
+            spans.append(F.when(known & (calm < off) & (off >= factor * resolution / 2), F.struct(calm.alias("calm"), off.alias("off"))))
     blocks = blocks.filter("core").withColumn("_spans", F.array_compact(F.array(*spans)))
     blocks = blocks.withColumn("_hour", F.hour("_t") if hourly else F.lit(0))
+    # written once: the sketches and the candidates both need the levels
+    times = [] if fence is None else ["_t", "_t_before", "_p1"]
+    blocks = cut(blocks.select("_src", "_hour", "_key", "_v", "level", "_spans", "pos", *times))
 
     quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(4000))
     measures = {"_q": F.col("_v") - F.col("level")}
@@ -109,7 +114,7 @@ def flag_spikes(
     sketch = sketch.select("_src", "_hour", scatter, *measures, F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
     asked = F.size("_spans") > 0 if fence is None else F.lit(True)
     extra = [] if fence is None else [measures["_rq"].alias("_rate")]
-    maybe = blocks.filter(asked).select("_src", "_hour", "_t", "_key", "_v", "level", "_spans", *extra, F.pmod(F.col("pos"), F.lit(_SALTS)).cast("int").alias("_salt"))
+    maybe = blocks.filter(asked).select("_src", "_hour", "_key", "_v", "level", "_spans", *extra, F.pmod(F.col("pos"), F.lit(_SALTS)).cast("int").alias("_salt"))
     joined = maybe.join(sketch, (maybe._salt == sketch._salt) & (maybe._hour == sketch._hour) & maybe._src.eqNullSafe(sketch._src)).select(maybe["*"], "scatter", *measures)
     limit = F.col("scatter") * factor
     reason = F.when(F.exists("_spans", lambda s: (s.calm < limit) & (s.off >= limit)), "spike")

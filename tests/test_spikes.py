@@ -70,7 +70,7 @@ def test_fences_and_rates(spark):
     v[100:104] = [x + 0.6 for x in v[100:104]]  # four in a row are no spike, but outside the fences
     data = series(v)
     # a slow climb that is quick at one place: ten readings a day there
-    climb = [round(7 + 0.004 * i + e, 3) for i, e in enumerate(np.random.default_rng(6).normal(0, 0.02, 80))]
+    climb = [float(round(7 + 0.004 * i + e, 3)) for i, e in enumerate(np.random.default_rng(6).normal(0, 0.02, 80))]
     data += [("B", (DAY + dt.timedelta(days=i * 10)), 1000 + i, x, "o") for i, x in enumerate(climb)]
     quick = (DAY + dt.timedelta(days=401), 1080, round(climb[40] + 0.15, 3))
     data.append(("B", quick[0], quick[1], quick[2], "o"))
