@@ -7,7 +7,10 @@ from one file to the next is logged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import normal_name
@@ -19,7 +22,7 @@ from gaugeflow.operators.shards import rank_blocks
 TYPES = {"number": "double", "integer": "bigint", "datetime": "timestamp", "date": "date", "boolean": "boolean", "text": "string"}
 
 
-def _fields(headers: DataFrame) -> DataFrame:
+def _fields(headers: DataFrame, *more: str) -> DataFrame:
     """(file_id, field, name, type): one row for each field of a file; a field is a quantity or a column's own name.
 
     If several columns of a file are the same field, the one with the lowest ordinal counts.
@@ -29,7 +32,7 @@ def _fields(headers: DataFrame) -> DataFrame:
     on = named.file_id.eqNullSafe(held._file) & named.ordinal.eqNullSafe(held._ordinal) & (named.name == held._name)
     named = named.join(held, on, "left").withColumn("field", F.coalesce(F.concat(F.lit("quantity:"), "quantity"), "name"))
     first = named.groupBy("file_id", "field").agg(F.min(F.struct("ordinal", "name", "type")).alias("_c"))
-    return first.select("file_id", "field", "_c.name", "_c.type")
+    return first.select("file_id", "field", "_c.name", "_c.type", *[f"_c.{c}" for c in more])
 
 
 def _placed(files: DataFrame, block_files: int) -> DataFrame:
@@ -75,41 +78,119 @@ def column_changes(files: DataFrame, headers: DataFrame, block_files: int = 50_0
 
 
 def column_lifespans(files: DataFrame, headers: DataFrame, block_files: int = 50_000) -> DataFrame:
-    """Catalogue: (feed, field, name, type, first_file, last_file, first_period, last_period, n_files, cast_to).
+    """Catalogue: (feed, field, name, type, first_file, last_file, first_period, last_period, n_files, ended_by, cast_to).
 
-    One row for each feed, field, name and type; cast_to is the type that holds all values of the field in
-    all feeds: its own type, or string where declared types disagree, double for integer beside number.
+    One row for each island, a stretch of consecutive files of a feed that hold a field under one name and type; a
+    column that ends and returns has two. ended_by is the file without it that comes next, null if the feed ends
+    with it. cast_to is the type that holds all values of the field in all feeds, see `field_types`. Files and
+    headers are read as in `column_changes`.
     """
-    placed = _placed(files, block_files).filter("core").select("feed", "file_id", "period_start")
+    placed = _placed(files, block_files).filter("core").select("feed", "file_id", "period_start", "pos", "block", "after")
     rows = placed.join(_fields(headers), "file_id")
-    spans = rows.groupBy("feed", "field", "name", "type").agg(
-        F.min_by("file_id", F.struct("period_start", "file_id")).alias("first_file"),
-        F.max_by("file_id", F.struct("period_start", "file_id")).alias("last_file"),
-        F.min("period_start").alias("first_period"),
-        F.max("period_start").alias("last_period"),
-        F.count(F.lit(1)).alias("n_files"),
-    )
+    key = ["feed", "field", "name", "type"]
+    # islands inside blocks of files first, then those that meet at a block's edge are joined
+    nth = F.row_number().over(Window.partitionBy("block", *key).orderBy("pos"))
+    ends = [F.min(F.struct("pos", "file_id", "period_start")).alias("first"), F.max(F.struct("pos", "file_id", "period_start", "after")).alias("last")]
+    parts = rows.withColumn("_island", F.col("pos") - nth).groupBy("block", *key, "_island").agg(*ends, F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*key).orderBy("first.pos")
+    new = F.coalesce(F.lag("last.pos").over(w) != F.col("first.pos") - 1, F.lit(True)).cast("int")
+    parts = parts.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = parts.groupBy(*key, "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n_files"))
+    spans = spans.select(
+        *key, F.col("first.file_id").alias("first_file"), F.col("last.file_id").alias("last_file"), F.col("first.period_start").alias("first_period"),
+        F.col("last.period_start").alias("last_period"), "n_files", F.col("last.after").alias("ended_by"),
+    )
+    return spans.join(field_types(headers), "field")
+
+
+def field_types(headers: DataFrame) -> DataFrame:
+    """(field, cast_to): the Spark type that holds a field's values, by the table of declared types.
+
+    Quantities are doubles; a field declared with one type has that, with integer and number a double, with
+    other mixtures or an unknown type it is a string.
+    """
     table = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
     held = F.coalesce(F.try_element_at(table, F.col("type")), F.lit("string"))
-    casts = spans.groupBy("field").agg(F.collect_set(held).alias("_types"))
+    casts = _fields(headers).groupBy("field").agg(F.collect_set(held).alias("_types"))  # at most one of each type
     numbers = F.size(F.array_except("_types", F.array(F.lit("double"), F.lit("bigint")))) == 0
     quantity = F.col("field").startswith("quantity:")
-    cast_to = F.when(quantity, "double").when(F.size("_types") == 1, F.col("_types")[0]).when(numbers, "double").otherwise("string")
-    return spans.join(casts.select("field", cast_to.alias("cast_to")), "field").select("feed", "field", "name", "type", "first_file", "last_file", "first_period", "last_period", "n_files", "cast_to")
+    return casts.select("field", F.when(quantity, "double").when(F.size("_types") == 1, F.col("_types")[0]).when(numbers, "double").otherwise("string").alias("cast_to"))
 
 
-def one_table(records: DataFrame, headers: DataFrame) -> DataFrame:
-    """All files' lines in one table: (record_id, file_id, line_no, <the five quantities>, others).
+def typed_cells(records: DataFrame, headers: DataFrame) -> DataFrame:
+    """(record_id, file_id, line_no, field, cast_to, number, instant, text): the cells of plain columns, cast by `field_types`.
 
-    The quantities are doubles in common units, whatever their column was called; others maps the normal
-    names of all other columns to their texts. Repeated lines count once; lines of files without a header
-    keep null quantities and no others.
+    number holds values cast to double, bigint or boolean (1 and 0), instant those cast to timestamp or date, text
+    those cast to string and those whose cast failed. Quantities are left to `to_common_units`; null and missing
+    cells give no row, repeated lines count once.
     """
     lines = records.select("record_id", "file_id", "line_no", "cells").distinct()
-    fields = _fields(headers).filter(~F.col("field").startswith("quantity:")).select("file_id", F.col("name").alias("_n"))
-    named = headers.select("file_id", "ordinal", normal_name(F.col("name")).alias("_n")).distinct().join(fields, ["file_id", "_n"], "left_semi")
-    plain = named.groupBy("file_id", "_n").agg(F.min("ordinal").alias("ordinal")).groupBy("file_id").agg(F.collect_list(F.struct("_n", "ordinal")).alias("_plain"))
+    plain = _fields(headers, "ordinal").filter(~F.col("field").startswith("quantity:")).join(field_types(headers), "field")
+    plain = plain.groupBy("file_id").agg(F.collect_list(F.struct("field", "ordinal", "cast_to")).alias("_plain"))  # as long as a header
+    cells = lines.join(plain, "file_id").select("record_id", "file_id", "line_no", F.explode(F.transform("_plain", lambda p: F.struct(p["field"].alias("field"), p["cast_to"].alias("cast_to"), F.get("cells", p["ordinal"] - 1).alias("raw")))).alias("_c"))
+    cells = cells.select("record_id", "file_id", "line_no", "_c.*").filter("raw is not null")
+    kind, raw = F.col("cast_to"), F.col("raw")
+    number = F.when(kind == "double", raw.try_cast("double")).when(kind == "bigint", raw.try_cast("bigint").cast("double")).when(kind == "boolean", raw.try_cast("boolean").cast("double"))
+    cells = cells.withColumns({"number": number, "instant": F.when(kind.isin("timestamp", "date"), raw.try_cast("timestamp"))})
+    text = F.when(F.col("number").isNull() & F.col("instant").isNull(), raw)
+    return cells.select("record_id", "file_id", "line_no", "field", "cast_to", "number", "instant", text.alias("text"))
+
+
+#: Plain fields that one table may have as columns; they are names in headers, not values.
+MOST_FIELDS = 10_000
+
+
+def one_table(records: DataFrame, headers: DataFrame) -> DataFrame:
+    """All files' lines in one table: (record_id, file_id, line_no, <the five quantities>, <plain fields>, others).
+
+    The quantities are doubles in common units, whatever their column was called. Each other field is a column
+    of the type of `field_types`, with a _ after its name where the name is taken; others maps fields to the texts
+    that could not be cast. Repeated lines count once; lines of files without a header keep nulls. Headers with
+    more than MOST_FIELDS plain fields are refused: use `typed_cells`, which has no such bound.
+    """
+    lines = records.select("record_id", "file_id", "line_no").distinct()
+    kinds = field_types(headers).filter(~F.col("field").startswith("quantity:")).orderBy("field").limit(MOST_FIELDS + 1).collect()
+    if len(kinds) > MOST_FIELDS:
+        raise ValueError("too many fields for columns")
+    taken = {"record_id", "file_id", "line_no", "others", *QUANTITIES}
     values = to_common_units(records, headers).groupBy("record_id").agg(*[F.max(F.when(F.col("quantity") == q, F.col("value"))).alias(q) for q in QUANTITIES])
-    pairs = F.transform("_plain", lambda p: F.struct(p._n, F.get("cells", p.ordinal - 1)))
-    lines = lines.join(plain, "file_id", "left").withColumn("others", F.map_from_entries(pairs)).drop("_plain", "cells")
-    return lines.join(values, "record_id", "left").select("record_id", "file_id", "line_no", *QUANTITIES, "others")
+    columns = []
+    for field, kind in kinds:
+        column = "number" if kind in ("double", "bigint", "boolean") else "instant" if kind in ("timestamp", "date") else "text"
+        columns.append(F.max(F.when(F.col("field") == field, F.col(column))).cast(kind).alias(f"{field}_" if field in taken else field))
+    failed = F.map_from_entries(F.array_sort(F.array_distinct(F.collect_list(F.when((F.col("cast_to") != "string") & F.col("text").isNotNull(), F.struct("field", "text"))))))
+    plain = typed_cells(records, headers).groupBy("record_id").agg(*columns, failed.alias("others"))
+    return lines.join(values, "record_id", "left").join(plain, "record_id", "left").select("record_id", "file_id", "line_no", *QUANTITIES, *[c for c in plain.columns if c != "record_id"])
+
+
+#: Beginnings of the type names in a Parquet footer's schema, and what they are called here.
+FOOTER_TYPES = {"int": "integer", "uint": "integer", "double": "number", "float": "number", "halffloat": "number", "decimal": "number", "timestamp": "datetime", "date": "date", "bool": "boolean"}
+
+
+def footer_columns(spark: SparkSession, path: str) -> DataFrame:
+    """(file, modified, ordinal, name, type): the columns in the footers of all Parquet files below a folder.
+
+    Only footers are read, by the executors, each file's once. A file without a readable footer has one row with
+    a null ordinal and name and the type 'unreadable'.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "modificationTime")
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+        from pyarrow import ArrowInvalid, fs
+
+        for part in parts:
+            rows = []
+            for file, modified in zip(part["path"], part["modificationTime"], strict=True):
+                system, at = fs.FileSystem.from_uri("file://" + file[5:] if file.startswith("file:/") and not file.startswith("file://") else file)
+                try:
+                    fields = list(pq.read_schema(at, filesystem=system))
+                except (ArrowInvalid, OSError):
+                    rows.append((file, modified, None, None, "unreadable"))
+                    continue
+                for n, f in enumerate(fields, 1):
+                    kind = next((k for start, k in FOOTER_TYPES.items() if str(f.type).startswith(start)), "text")
+                    rows.append((file, modified, n, f.name, kind))
+            yield pd.DataFrame(rows, columns=["file", "modified", "ordinal", "name", "type"]).astype({"ordinal": "Int32"})
+
+    return listed.mapInPandas(read, "file string, modified timestamp, ordinal int, name string, type string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.units import ALIASES
 from gaugeflow.operators.common_units import to_common_units
-from gaugeflow.operators.drift import column_changes, column_lifespans, one_table
+from gaugeflow.operators.drift import TYPES, column_changes, column_lifespans, one_table, typed_cells
 from gaugeflow.operators.instants import to_instants
 from gaugeflow.operators.nearby import boxes_of, containing, located, near_pairs
 from gaugeflow.operators.regular_grid import missing_slots, regular_series
@@ -76,6 +76,11 @@ def p5_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return column_lifespans(table(spark, folder, "insitu_files"), table(spark, folder, "table_columns"))
 
 
+def p5_cells(spark: SparkSession, folder: str) -> DataFrame:
+    cells = typed_cells(table(spark, folder, "raw_records"), table(spark, folder, "table_columns"))
+    return cells.withColumn("instant_us", F.unix_micros("instant")).drop("instant")
+
+
 def p5_table(spark: SparkSession, folder: str) -> DataFrame:
     rows = one_table(table(spark, folder, "raw_records"), table(spark, folder, "table_columns"))
     return rows.withColumn("others", F.to_json("others"))
@@ -90,7 +95,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.unionByName(within.select(F.lit("within").alias("relation"), F.col("key").alias("key_a"), F.col("region").alias("key_b")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p2_found, p2_series, p3_found, p3_values, p4_found, p4_instants, p5_found, p5_catalogue, p5_table, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p2_found, p2_series, p3_found, p3_values, p4_found, p4_instants, p5_found, p5_catalogue, p5_cells, p5_table, p6_found)}
 
 def _instants_sql() -> str:
     """One CASE for each form of text; the earlier of two instants for an hour that occurs twice."""
@@ -217,12 +222,46 @@ union all select file_id, 'renamed', o.name, n.name from j where o.name <> n.nam
 union all select file_id, 'retyped', o.name, n.name from j where o.type <> n.type"""
 
 
+_TYPES_SQL = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in TYPES.items()) + " else 'string' end"
+
+
+def _fields_sql() -> str:
+    """CTEs f (file_id, field, ordinal, name, type) and y (field, cast_to) after those of _columns_sql."""
+    return f"""{_columns_sql()},
+g as (select file_id, field, min(struct_pack(ordinal, name, type)) x from (select *, coalesce('quantity:' || quantity, name) field from c) group by 1, 2),
+f as (select file_id, field, x.ordinal ordinal, x.name as name, x.type as type from g),
+y as (select field, case when field like 'quantity:%' then 'double' when count(distinct k) = 1 then any_value(k) when bool_and(k in ('double', 'bigint')) then 'double' else 'string' end cast_to
+  from (select field, {_TYPES_SQL} k from f) group by 1)"""
+
+
+def _lifespans_sql() -> str:
+    return f"""
+with {_fields_sql()},
+p as (select feed, period_start, file_id, row_number() over (order by feed, period_start, file_id) pos, lead(file_id) over (partition by feed order by period_start, file_id) after
+  from (select distinct feed, period_start, file_id from insitu_files)),
+i as (select *, pos - row_number() over (partition by feed, field, name, type order by pos) island from p join f using (file_id)),
+s as (select feed, field, name, type, min(struct_pack(pos, file_id, period_start)) a, max(struct_pack(pos, file_id, period_start, after)) z, count(*) n_files from i group by feed, field, name, type, island)
+select feed, field, name, type, a.file_id first_file, z.file_id last_file, a.period_start first_period, z.period_start last_period, n_files, z.after ended_by, cast_to from s join y using (field)"""
+
+
+def _cells_sql() -> str:
+    return f"""
+with {_fields_sql()},
+r as (select distinct record_id, file_id, line_no, cells from raw_records),
+l as (select record_id, file_id, line_no, field, cast_to, cells[ordinal] raw from r join f using (file_id) join y using (field) where field not like 'quantity:%' and cells[ordinal] is not null),
+v as (select *, case when cast_to = 'double' then try_cast(raw as double) when cast_to = 'bigint' then try_cast(raw as bigint)::double when cast_to = 'boolean' then try_cast(raw as boolean)::int::double end number,
+  case when cast_to in ('timestamp', 'date') then epoch_us(try_cast(raw as timestamptz)) end instant_us from l)
+select record_id, file_id, line_no, field, cast_to, number, instant_us, case when number is null and instant_us is null then raw end as text from v"""
+
+
 #: Equivalent SQL of those queries that SQL can express in a few lines; the others are tested by brute force.
 ORACLE = {
     "p1_found": _spikes_sql(),
     "p3_found": _units_sql(),
     "p4_found": _instants_sql(),
     "p5_found": _drift_sql(),
+    "p5_catalogue": _lifespans_sql(),
+    "p5_cells": _cells_sql(),
     "p2_found": f"with {_MESSAGES} select platform, unnest(range(slot + 1, following)) * period as slot_start_us from g where following > slot + 1",
     "p6_found": """
 with p as (select distinct platform, location.lon lon, location.lat lat from fakesite_phmeasurements_2025_cybele
