@@ -1,8 +1,9 @@
 """Points near other points, and the regions that contain a point.
 
-Containment works by slabs: regions are spread over a pyramid of grid cells by their size, so that none
-fills more than a few cells; in each share of cells the regions' lower and upper edges cut the plane into
-ordered slabs, a point finds its slab and the regions' left and right edges there by binary search.
+Containment works by a trapezoidal decomposition: regions are spread over a pyramid of grid cells by their size,
+so that none fills more than a few cells, and neighbouring cells are dealt out in shares. In a share the regions'
+lower and upper edges cut the plane into ordered slabs, and in a slab its regions' left and right edges into
+intervals; a point finds its slab, and its place among the slab's edges, by binary search.
 
 Nearness works on slabs of latitude, cut into cells no narrower than the distance. A place's readings
 scatter by a few metres, so points are first gathered into small boxes; most pairs of boxes are surely near
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.shards import running_total
 from gaugeflow.session import cut
 
 EARTH_M = 6371008.8
@@ -40,11 +42,13 @@ def located(df: DataFrame, key: str, location: str) -> DataFrame:
     return rows.filter("key is not null and lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0)").distinct()
 
 
-def near_pairs(points: DataFrame, distance_m: float) -> DataFrame:
+def near_pairs(points: DataFrame, distance_m: float, share: int = 4000) -> DataFrame:
     """(key_a, key_b), key_a < key_b: keys with a point each at most distance_m apart, each pair once.
 
     points: key, lon, lat, as from located(). All pairs of keys that are near are wanted, so a dense place
     gives as many; points of a key in one box count as one, except where the limit runs through the box.
+    A cell with more than share boxes is dealt out: each part of its boxes meets all the boxes that look into
+    the cell, so no task holds more than share rows for each of those.
     Nulls don't occur in points; repeated rows change nothing; an empty table gives an empty result.
     """
     reach = distance_m + 2 * _BOX_M
@@ -66,7 +70,15 @@ def near_pairs(points: DataFrame, distance_m: float) -> DataFrame:
     steps = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
     ahead = F.array_distinct(F.array(*[F.struct((own + i).alias("band"), F.pmod(cell(own + i) + j, cells(own + i)).alias("cell")) for i, j in steps]))
     probes = boxes.select("*", F.explode(ahead).alias("_c")).select("*", "_c.*").drop("_c")
-    pairs = probes.join(homes, ["band", "cell"]).filter("key != key_b")
+    place = ["band", "cell"]
+    # at most one crowded cell for each share boxes
+    crowded = homes.groupBy(place).count().filter(F.col("count") > share).select(*place, F.ceil(F.col("count") / share).alias("parts"))
+    crowded = cut(crowded)
+    if crowded.limit(1).count():
+        homes = homes.join(crowded, place, "left").withColumn("part", F.pmod(F.xxhash64("key_b", "bx_b", "by_b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        probes = probes.join(crowded, place, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        place = [*place, "part"]
+    pairs = probes.join(homes, place).filter("key != key_b")
     pairs = pairs.withColumn("_m", great_circle_m(F.col("lon"), F.col("lat"), F.col("lon_b"), F.col("lat_b"))).filter(F.col("_m") <= reach)
     names = ("key", "bx", "by")
     one, two = F.struct(*names), F.struct(*[F.col(f"{c}_b").alias(c) for c in names])
@@ -74,14 +86,15 @@ def near_pairs(points: DataFrame, distance_m: float) -> DataFrame:
     pairs = pairs.select(F.when(first, one).otherwise(two).alias("_1"), F.when(first, two).otherwise(one).alias("_2"), "_m")
     pairs = pairs.select(*[F.col(f"_1.{c}") for c in names], *[F.col(f"_2.{c}").alias(f"{c}_b") for c in names], "_m")
     sure = F.col("_m") <= distance_m - 2 * _BOX_M
-    # of two keys' boxes one sure pair is enough; without one, all pairs of boxes are looked into
-    found = pairs.groupBy("key", "key_b").agg(F.max(sure).alias("sure"), F.collect_set(F.when(~sure, F.struct("bx", "by", "bx_b", "by_b"))).alias("open"))
-    found = cut(found.withColumn("open", F.when(~F.col("sure"), F.col("open"))))
-    unsure = found.filter(~F.col("sure")).select("key", "key_b", F.explode("open").alias("_o")).select("key", "key_b", "_o.*")
+    # of two keys' boxes one sure pair is enough: all of them are one row, each other pair of boxes is a row of its own
+    boxed = F.when(~sure, F.struct("bx", "by", "bx_b", "by_b"))
+    found = cut(pairs.select("key", "key_b", boxed.alias("open")).distinct())
+    certain = found.filter("open is null").select("key", "key_b")
+    unsure = found.filter("open is not null").join(certain, ["key", "key_b"], "left_anti").select("key", "key_b", "open.*")
     inside = points.withColumns({"bx": x, "by": y})
     other = inside.select(*[F.col(c).alias(f"{c}_b") for c in inside.columns])
     settled = unsure.join(inside, ["key", "bx", "by"]).join(other, ["key_b", "bx_b", "by_b"]).filter(great_circle_m(F.col("lon"), F.col("lat"), F.col("lon_b"), F.col("lat_b")) <= distance_m)
-    return found.filter("sure").select("key", "key_b").unionByName(settled.select("key", "key_b").distinct()).toDF("key_a", "key_b")
+    return certain.unionByName(settled.select("key", "key_b").distinct()).toDF("key_a", "key_b")
 
 
 def boxes_of(items: DataFrame, key: str, bbox: str) -> DataFrame:
@@ -106,38 +119,75 @@ def boxes_of(items: DataFrame, key: str, bbox: str) -> DataFrame:
     return rows.select("region", "south", "north", F.explode(parts).alias("_x")).select("region", "_x.west", "south", "_x.east", "north").distinct()
 
 
+def _steps(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
+def _places(edges: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Place among ordered edges by binary search: 2 i on edge i, 2 i - 1 before it."""
+    above = np.searchsorted(edges, at, "left")
+    return np.where(edges[np.minimum(above, len(edges) - 1)] == at, 2 * above, 2 * above - 1)
+
+
 def locate(x: np.ndarray, y: np.ndarray, west: np.ndarray, south: np.ndarray, east: np.ndarray, north: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(point, region) index pairs, edges included: slabs between the regions' lower and upper edges, each
-    edge a slab of its own; binary search of a point's slab, then of the left and right edges in the slab."""
+    """(point, region) index pairs, edges included.
+
+    Lower and upper edges cut the plane into slabs, each edge a slab of its own. Slabs are taken from below, with
+    the regions that reach through each; only slabs that hold points are cut into intervals, by the left and right
+    edges of their regions. Work beyond the searches is in proportion to the regions of such slabs and the pairs.
+    """
     edges = np.unique(np.concatenate([south, north]))
+    none = np.empty(0, np.int64)
     if not len(edges) or not len(y):
-        return np.empty(0, int), np.empty(0, int)
-    above = np.searchsorted(edges, y, "left")
-    on = edges[np.minimum(above, len(edges) - 1)] == y
-    slab = np.where(on, 2 * above, 2 * above - 1)
-    low, high = 2 * np.searchsorted(edges, south), 2 * np.searchsorted(edges, north)
-    order = np.lexsort((x, slab))
+        return none, none
+    slab = _places(edges, y)
+    order = np.argsort(slab, kind="stable")
     bounds = np.flatnonzero(np.diff(slab[order], prepend=-2))
-    points, regions = [], []
+    low, high = 2 * np.searchsorted(edges, south), 2 * np.searchsorted(edges, north)
+    begins, active = np.argsort(low, kind="stable"), none
+    starts = low[begins]
+    points, regions, begun = [none], [none], 0
     for begin, end in zip(bounds, [*bounds[1:], len(order)], strict=True):
-        here = np.flatnonzero((low <= slab[order[begin]]) & (high >= slab[order[begin]]))
-        along = x[order[begin:end]]
-        first, last = np.searchsorted(along, west[here], "left"), np.searchsorted(along, east[here], "right")
+        here, inside = slab[order[begin]], order[begin:end]
+        upto = int(np.searchsorted(starts, here, "right"))
+        active = np.concatenate([active, begins[begun:upto]])
+        active, begun = active[high[active] >= here], upto
+        if not len(active):
+            continue
+        sides = np.unique(np.concatenate([west[active], east[active]]))
+        place = _places(sides, x[inside])
+        along = np.argsort(place, kind="stable")
+        held, starts_at = np.unique(place[along], return_index=True)  # the intervals that hold points
+        first, last = np.searchsorted(held, 2 * np.searchsorted(sides, west[active]), "left"), np.searchsorted(held, 2 * np.searchsorted(sides, east[active]), "right")
         n = np.maximum(last - first, 0)
-        if n.sum():
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            points.append(order[begin:end][at])
-            regions.append(np.repeat(here, n))
-    return (np.concatenate(points), np.concatenate(regions)) if points else (np.empty(0, int), np.empty(0, int))
+        interval, region = _steps(first, n), np.repeat(active, n)
+        many = np.diff([*starts_at, len(along)])[interval]
+        points.append(inside[along[_steps(starts_at[interval], many)]])
+        regions.append(np.repeat(region, many))
+    return np.concatenate(points), np.concatenate(regions)
+
+
+#: Cells of the pyramid that hold regions (40 bytes each) up to which they are broadcast; more are joined by a shuffle.
+_CELLS = 1 << 20
+
+
+def _morton(x: Column, y: Column) -> Column:
+    """Bits of x and y by turns: neighbouring cells have near numbers."""
+    z = F.lit(0).cast("bigint")
+    for bit in range(_LEVELS + 1):
+        for at, c in enumerate((x, y)):
+            z = z + F.shiftleft(F.shiftright(c.cast("bigint"), bit).bitwiseAND(1), 2 * bit + at)
+    return z
 
 
 def containing(points: DataFrame, regions: DataFrame, share: int = 4000, load: int = 200_000) -> DataFrame:
     """(key, region): the regions that hold a point of the key, edges included, each pair once.
 
-    points as from located(), regions as from boxes_of(). Cells are dealt out in shares of about share
-    regions; a cell with more is dealt out as several, each with all of the cell's points, and a share with
-    more than load points is cut by points, each part with all of the share's regions. So no task holds
-    more, wherever regions or points crowd. Empty tables give an empty result.
+    points as from located(), regions as from boxes_of(). Cells are dealt out in order of place, in shares of
+    about share regions; a cell with more is dealt out over several, each with all of the cell's points, and a
+    share with more than load points is cut by points, each part with all of the share's regions. So no task
+    holds more, wherever regions or points crowd. Empty tables give an empty result.
     """
     spark = points.sparkSession
     size = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(360 / 2**_LEVELS))
@@ -151,22 +201,19 @@ def containing(points: DataFrame, regions: DataFrame, share: int = 4000, load: i
         add = 180 if c == "cx" else 90
         pieces = pieces.withColumn(c, F.explode(F.sequence(cell(F.col(a) + add, F.col("level")), cell(F.col(b) + add, F.col("level")))))
     key = ["level", "cx", "cy"]
-    crowds = pieces.groupBy(key).count()
-    levels, total = crowds.agg(F.collect_set("level"), F.sum("count")).first()
-    if not total:
-        return points.crossJoin(regions).select("key", "region")  # there are no regions
-    deals = -(-total // share)
-    # at most one cell in every share of regions is crowded
-    crowded = F.broadcast(crowds.filter(F.col("count") > share).select(*key, F.ceil(F.col("count") / share).alias("parts")))
-    pieces = pieces.join(crowded, key, "left").withColumn("part", F.pmod(F.xxhash64("region"), F.coalesce("parts", F.lit(1))))
+    crowds = pieces.groupBy(key).count().withColumn("z", _morton(F.col("cx"), F.col("cy")))
+    crowds = running_total(crowds, [], ["level", "z"], "count", "upto")
+    crowds = cut(crowds.select(*key, F.floor((F.col("upto") - F.col("count")) / share).alias("deal"), F.ceil(F.col("count") / share).alias("parts")))
+    n_cells, levels = crowds.agg(F.count(F.lit(1)), F.collect_set("level")).first()
+    if not n_cells:
+        return points.select("key", F.lit(None).cast(regions.schema["region"].dataType).alias("region")).limit(0)
+    listed = F.broadcast(crowds) if n_cells <= _CELLS else crowds
+    # the parts of a crowded cell go to shares that follow one another
+    pieces = pieces.join(listed, key).withColumn("deal", F.col("deal") + F.pmod(F.xxhash64("region"), F.col("parts"))).select(*regions.columns, "deal").distinct()
     probes = points.withColumn("level", F.explode(F.array(*[F.lit(n) for n in sorted(levels)])))
-    probes = probes.withColumns({"cx": cell(F.col("lon") + 180, F.col("level")), "cy": cell(F.col("lat") + 90, F.col("level"))})
-    probes = probes.join(crowds.select(key), key, "left_semi").join(crowded, key, "left")
-    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)))
-    deal = F.pmod(F.xxhash64(*key, "part"), F.lit(deals))
-    probes = probes.withColumn("deal", deal).select("key", "lon", "lat", "deal")
-    pieces = pieces.withColumn("deal", deal).select(*regions.columns, "deal").distinct()
-    # one row for each deal, that is for each share of regions
+    probes = probes.withColumns({"cx": cell(F.col("lon") + 180, F.col("level")), "cy": cell(F.col("lat") + 90, F.col("level"))}).join(listed, key)
+    probes = probes.withColumn("deal", F.explode(F.sequence("deal", F.col("deal") + F.col("parts") - 1))).select("key", "lon", "lat", "deal")
+    # one row for each share whose points are more than one task should hold
     loads = {d: n for d, n in probes.groupBy("deal").count().filter(F.col("count") > load).collect()}
     heavy = F.broadcast(spark.createDataFrame([(d, -(-n // load)) for d, n in loads.items()], "deal bigint, splits bigint"))
     probes = probes.join(heavy, "deal", "left").withColumn("split", F.pmod(F.xxhash64("lon", "lat"), F.coalesce("splits", F.lit(1)))).drop("splits")

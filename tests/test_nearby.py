@@ -86,3 +86,25 @@ def test_locate_on_shared_edges(places, boxes):
     edges = [np.array([b[i] for b in boxes]) for i in range(4)]
     p, r = locate(x, y, *edges)
     assert sorted(zip(p.tolist(), r.tolist(), strict=True)) == [(i, j) for i, (u, v) in enumerate(places) for j, (w, s, e, n) in enumerate(boxes) if w <= u <= e and s <= v <= n]
+
+
+def test_crowded_cells_of_near_places_are_dealt_out(spark):
+    """All places in a few cells; each reading has a box of its own, and parts hold at most 30 of them."""
+    random = np.random.default_rng(7)
+    data = [(f"P{i % 40:02d}", (float(30 + x), float(10 + y))) for i, (x, y) in enumerate(random.uniform(0, 0.004, (1200, 2)))]
+    far = [(f"Q{i}", (float(30 + 0.01 * i), 10.02)) for i in range(20)]
+    got = [(r.key_a, r.key_b) for r in near_pairs(points(spark, data + far), 250.0, share=30).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(r.key_a, r.key_b) for r in near_pairs(points(spark, data + far), 250.0).collect()} == brute_near(data + far, 250.0)
+
+
+def test_shares_of_many_levels(spark):
+    """Regions of all sizes over the whole world, in shares of ten."""
+    random = np.random.default_rng(9)
+    data = [(f"P{i}", (float(x), float(y))) for i, (x, y) in enumerate(zip(random.uniform(-180, 180, 300), random.uniform(-90, 90, 300), strict=True))]
+    boxes = []
+    for i in range(200):
+        w, s, size = random.uniform(-180, 170), random.uniform(-90, 80), 10 ** random.uniform(-3, 1.5)
+        boxes.append((f"R{i}", [float(w), float(s), float(min(w + size, 180)), float(min(s + size / 2, 90))]))
+    got = {(r.key, r.region) for r in containing(points(spark, data), regions(spark, boxes), share=10, load=50).collect()}
+    assert got == {(k, r) for k, (x, y) in data for r, (w, s, e, n) in boxes if w <= x <= e and s <= y <= n}
