@@ -67,10 +67,13 @@ def own_paragraphs(text: str | None) -> list[str]:
     text = _MARK_BREAK.sub("\n", _TWO_BREAKS.sub("\n\n", text))
     text = _TAG.sub("", _BREAK.sub(" ", _IMAGE.sub(" ", text)))
     kept: list[str] = []
+    signed = False
     for line in text.split("\n"):
-        if _SIGNATURE.match(line):
-            break
-        if _MARKER.match(line):
+        # a signature ends with its paragraph; what comes after a rule is the author's own again
+        signed = bool(_SIGNATURE.match(line)) or (signed and bool(line.strip()))
+        if signed:
+            kept.append("")
+        elif _MARKER.match(line):
             # the name of the quoted stands above
             while kept and not kept[-1].strip():
                 kept.pop()
