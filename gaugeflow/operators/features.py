@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.shards import along
+
 
 def _joined(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df with the statistics of its group; without keys these are one row. Null keys have statistics too."""
@@ -71,9 +73,8 @@ def tensor(df: DataFrame, keys: Sequence[str], order: str, features: Sequence[st
 
 def gaps(df: DataFrame, keys: Sequence[str], when: str, value: str, most_missing: float = 0.3, longest_days: float = 60.0) -> DataFrame:
     """(keys, missing_fraction, longest_gap_days, valid) of each series."""
-    w = Window.partitionBy(*keys).orderBy("_us")
     rows = df.withColumn("_us", F.unix_micros(F.col(when).cast("timestamp")))
-    rows = rows.withColumn("_gap", (F.col("_us") - F.lag("_us").over(w)) / 86_400_000_000)
+    rows = along(rows, keys, ["_us"], lambda c, w: {"_gap": (c("_us") - F.lag(c("_us")).over(w)) / 86_400_000_000})
     out = rows.groupBy(*keys).agg(F.avg(F.col(value).isNull().cast("int")).alias("missing_fraction"), F.coalesce(F.max("_gap"), F.lit(0.0)).alias("longest_gap_days"))
     return out.withColumn("valid", (F.col("missing_fraction") <= most_missing) & (F.col("longest_gap_days") <= longest_days))
 

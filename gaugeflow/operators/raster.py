@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.scores import WATER, band_regression, least_angle, shadow_index
 from gaugeflow.operators.network import components
+from gaugeflow.operators.shards import running_total
 
 NODATA = -32768
 #: Bands of the indices, and the classes of the scene classification.
@@ -71,8 +72,7 @@ def labelled(mask: DataFrame, least_pixels: int = 4) -> DataFrame:
     edges = below.unionByName(beside).join(cells, ["row", "col"]).select("a", node.alias("b"))
     bodies = components(cells.select(node.alias("node")), edges)
     sizes = bodies.groupBy("component").count().filter(F.col("count") >= least_pixels)
-    # as many rows as bodies, of one scene's mask
-    ranks = sizes.withColumn("label", F.row_number().over(Window.orderBy(F.desc("count"), "component")))
+    ranks = running_total(sizes.withColumns({"_one": F.lit(1), "_less": -F.col("count")}), [], ["_less", "component"], "_one", "label").select("component", F.col("label").cast("int").alias("label"))
     place = {"row": F.shiftright("node", 32), "col": F.col("node").bitwiseAND((1 << 32) - 1)}
     return bodies.join(ranks, "component").select(*[c.cast(cells.schema[n].dataType).alias(n) for n, c in place.items()], "label")
 
@@ -87,8 +87,9 @@ def hillside(cells: DataFrame, value: str, cell_m: float = 1.0) -> DataFrame:
     from gaugeflow.functions.scores import slope_degrees
     from gaugeflow.operators.series import gradient
 
-    cells = cells.withColumns({"_dy": gradient(value, ["col"], "row") / cell_m, "_dx": gradient(value, ["row"], "col") / cell_m})
-    return cells.withColumn("slope_deg", slope_degrees(F.coalesce("_dx", F.lit(0.0)), F.coalesce("_dy", F.lit(0.0)))).drop("_dx", "_dy")
+    cells = gradient(gradient(cells, value, ["col"], "row", "_dy"), value, ["row"], "col", "_dx")
+    dx, dy = (F.coalesce(F.col(c) / cell_m, F.lit(0.0)) for c in ("_dx", "_dy"))
+    return cells.withColumn("slope_deg", slope_degrees(dx, dy)).drop("_dx", "_dy")
 
 
 def sampled(cells: DataFrame, points: DataFrame, value: str = "value") -> DataFrame:

@@ -1,7 +1,8 @@
 """Time-series operators: rolling sums, differences, resampling, alignment.
 
-Windows run by series, which must be a key with a bounded history (a sensor, a cell, a location); a series
-that may hold much of the data is cut into blocks first, see rolling() and shards.rank_blocks().
+A series may hold much of the data: operators that look at neighbours, or for the last and next known value, work
+in blocks of rows (see `shards`). Only rolling() and climate_features() take a window over a whole series, of one
+row a day and location; rolling_blocks() has no such bound.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.shards import rank_blocks
+from gaugeflow.operators.shards import along, carried, rank_blocks
 
 
 def rolling(value: Column, rows: int, keys: Sequence[str], order: Sequence[str], how: str = "sum") -> Column:
@@ -48,31 +49,52 @@ def climate_features(daily: DataFrame, location: str = "location") -> DataFrame:
 
 def steps(df: DataFrame, value: str, keys: Sequence[str], date: str) -> DataFrame:
     """df with step (0 at the first date and beside nulls), days (at least 1) and velocity = |step| / days."""
-    w = Window.partitionBy(*keys).orderBy(date)
-    gap = F.datediff(date, F.lag(date).over(w))
-    df = df.withColumns({"step": F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0.0)), "days": F.when(gap > 0, gap).otherwise(1)})
-    return df.withColumn("velocity", F.abs(F.col("step") / F.col("days")))
 
+    def columns(c, w) -> dict[str, Column]:
+        gap = F.datediff(c(date), F.lag(c(date)).over(w))
+        return {"step": F.coalesce(c(value) - F.lag(c(value)).over(w), F.lit(0.0)), "days": F.when(gap > 0, gap).otherwise(1)}
 
-def from_first(value: str, keys: Sequence[str], order: Sequence[str]) -> Column:
-    """value less that of the first row of its series."""
-    return F.col(value) - F.first(value).over(Window.partitionBy(*keys).orderBy(*order))
+    return along(df, keys, [date], columns).withColumn("velocity", F.abs(F.col("step") / F.col("days")))
+
+
+def accelerations(df: DataFrame, value: str, keys: Sequence[str], date: str) -> DataFrame:
+    """df with rate and acceleration: the change a day since the row before, and the change of that a day.
+
+    Three rows make one acceleration; before that, beside nulls and between equal times both are null.
+    """
+
+    def columns(c, w) -> dict[str, Column]:
+        days = lambda n: F.nullif(F.datediff(F.lag(c(date), n).over(w), F.lag(c(date), n + 1).over(w)).cast("double"), F.lit(0.0))
+        rate = [(F.lag(c(value), n).over(w) - F.lag(c(value), n + 1).over(w)) / days(n) for n in (0, 1)]
+        return {"rate": rate[0], "acceleration": (rate[0] - rate[1]) / days(0)}
+
+    return along(df, keys, [date], columns, reach=2)
+
+
+def from_first(df: DataFrame, value: str, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """df with name: value less that of the first row of its series, found by one aggregate; the join splits crowded series."""
+    first = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_first"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(first[f"_{k}"])
+    return df.join(first, same).withColumn(name, F.col(value) - F.col("_first.v")).drop("_first", *[f"_{k}" for k in keys])
 
 
 def intervals(df: DataFrame, value: str, keys: Sequence[str], when: str) -> DataFrame:
     """Consecutive pairs of a series: (keys, start, end, change, rate a day); null unless both ends are known."""
-    w = Window.partitionBy(*keys).orderBy(when)
-    seconds = F.col("_us").cast("double") / 1e6
-    df = df.withColumn("_us", F.unix_micros(F.col(when).cast("timestamp")))
-    df = df.withColumns({"start": F.lag(when).over(w), "_old": F.lag(value).over(w), "_days": (seconds - F.lag(seconds).over(w)) / 86400})
+
+    def columns(c, w) -> dict[str, Column]:
+        seconds = F.unix_micros(c(when).cast("timestamp")).cast("double") / 1e6
+        return {"start": F.lag(c(when)).over(w), "_old": F.lag(c(value)).over(w), "_days": (seconds - F.lag(seconds).over(w)) / 86400}
+
+    rows = along(df, keys, [when], columns)
     change = F.col(value) - F.col("_old")
-    return df.filter("start is not null").select(*keys, "start", F.col(when).alias("end"), change.alias("change"), (change / F.nullif(F.col("_days"), F.lit(0.0))).alias("rate"))
+    return rows.filter("start is not null").select(*keys, "start", F.col(when).alias("end"), change.alias("change"), (change / F.nullif(F.col("_days"), F.lit(0.0))).alias("rate"))
 
 
 def last_steps(df: DataFrame, value: str, keys: Sequence[str], order: str) -> DataFrame:
     """(keys, last, last_step): the last value of a series and its difference to the one before."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("_before", F.lag(value).over(w)).groupBy(*keys).agg(F.max_by(F.struct(value, "_before"), order).alias("_l"))
+    rows = along(df, keys, [order], lambda c, w: {"_before": F.lag(c(value)).over(w)}).groupBy(*keys).agg(F.max_by(F.struct(value, "_before"), order).alias("_l"))
     return rows.select(*keys, F.col("_l")[value].alias("last"), (F.col("_l")[value] - F.col("_l")["_before"]).alias("last_step"))
 
 
@@ -84,35 +106,33 @@ def daily_max(df: DataFrame, when: str, values: Sequence[str], keys: Sequence[st
     return spine.join(days, [*keys, "date"], "left")
 
 
-def filled_along(value: str, keys: Sequence[str], order: str) -> Column:
-    """value, else the last known before it, else the first after it."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    back = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return F.coalesce(back, ahead)
+def filled_along(df: DataFrame, value: str, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """df with name: value, else the last known before it, else the first after it."""
+    rows = carried(df, keys, [order], value, "_before", "_after")
+    return rows.withColumn(name, F.coalesce("_before", "_after")).drop("_before", "_after")
+
+
+def gradient(df: DataFrame, value: str, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """df with name: central difference inside a line of cells, one-sided at its ends."""
 
+    def columns(c, w) -> dict[str, Column]:
+        left, right = F.lag(c(value)).over(w), F.lead(c(value)).over(w)
+        return {name: F.when(left.isNull(), right - c(value)).when(right.isNull(), c(value) - left).otherwise((right - left) / 2)}
 
-def gradient(value: str, keys: Sequence[str], order: str) -> Column:
-    """Central difference inside a line of cells, one-sided at its ends."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    left, right = F.lag(value).over(w), F.lead(value).over(w)
-    return F.when(left.isNull(), right - F.col(value)).when(right.isNull(), F.col(value) - left).otherwise((right - left) / 2)
+    return along(df, keys, [order], columns)
 
 
 def nearest(left: DataFrame, right: DataFrame, *, keys: Sequence[str], when: str, right_when: str, values: Sequence[str], tolerance_s: float | None = None) -> DataFrame:
     """left with the nearest_<value> of the right row nearest in time in its series, the earlier one on a tie.
 
-    Both sides are merged in time order; each left row takes the last right row up to it and the next one,
-    by two windows: no pairs are made. right_when and the values keep their names with a prefix nearest_.
+    Both sides are merged in time order; each left row takes the last right row up to it and the next one:
+    no pairs are made, and a series may be of any size. right_when and the values keep their names with a prefix nearest_.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     a = left.withColumns({"_t": us(when), "_side": F.lit(1), "_r": F.lit(None).cast(_struct(right, [right_when, *values]))})
     b = right.select(*keys, us(right_when).alias("_t"), F.lit(0).alias("_side"), F.struct(us(right_when).alias("_t"), *[right_when, *values]).alias("_r"))
     both = a.unionByName(b.filter("_t is not null"), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side")
-    before = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumns({"_b": before, "_a": after}).filter("_side = 1")
+    both = carried(both, keys, ["_t", "_side"], "_r", "_b", "_a").filter("_side = 1")
     back, ahead = F.col("_t") - F.col("_b._t"), F.col("_a._t") - F.col("_t")
     pick = F.when(F.col("_t").isNull(), F.lit(None)).when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull() | (back <= ahead), F.col("_b")).otherwise(F.col("_a"))
     both = both.withColumn("_n", pick)
@@ -131,9 +151,8 @@ def interpolated(left: DataFrame, right: DataFrame, *, keys: Sequence[str], when
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     a = left.withColumns({"_t": us(when), "_side": F.lit(1), "_r": F.lit(None).cast("struct<_t:bigint,_v:double>")})
     b = right.filter(F.col(value).isNotNull()).select(*keys, us(right_when).alias("_t"), F.lit(0).alias("_side"), F.struct(us(right_when).alias("_t"), F.col(value).cast("double").alias("_v")).alias("_r"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side")
     both = a.unionByName(b.filter("_t is not null"), allowMissingColumns=True)
-    both = both.withColumns({"_b": F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}).filter("_side = 1")
+    both = carried(both, keys, ["_t", "_side"], "_r", "_b", "_a").filter("_side = 1")
     gap = F.col("_a._t") - F.col("_b._t")
     share = (F.col("_t") - F.col("_b._t")) / F.nullif(gap, F.lit(0))
     line = F.col("_b._v") + F.coalesce(share, F.lit(0.0)) * (F.col("_a._v") - F.col("_b._v"))

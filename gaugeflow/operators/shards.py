@@ -8,10 +8,11 @@ give the same answer as one window over the whole source.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from gaugeflow.session import cut
 
@@ -94,3 +95,49 @@ def running_total(df: DataFrame, groups: Sequence[str], order: Sequence[str], va
     for c in same[1:]:
         condition &= c
     return local.join(parts, condition).select(*[local[c] for c in df.columns], (F.col("_own") + F.col("_before")).alias(name))
+
+
+def _packed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> tuple[DataFrame, list[str], list[str]]:
+    """df as one struct _whole, with its keys and order beside it under names of their own."""
+    ks, os = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
+    columns = [F.col(o) if isinstance(o, str) else o for o in order]
+    flat = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole"), *[F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)], *[c.alias(n) for c, n in zip(columns, os, strict=True)])
+    return flat, ks, os
+
+
+def _unpacked(rows: DataFrame, columns: Sequence[str], new: Sequence[str]) -> DataFrame:
+    return rows.select(*[F.col("_whole")[c].alias(c) for c in columns if c not in new], *new)
+
+
+def along(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], columns: Callable[[Callable[[str], Column], WindowSpec], dict[str, Column]], reach: int = 1, block_rows: int = 65536) -> DataFrame:
+    """df with columns that look at most reach rows back or ahead in their series, for series of any size.
+
+    columns(value, w) gives the new columns; value(name) is a column of df, w the window along a series.
+    """
+    flat, ks, os = _packed(df, keys, order)
+    blocks = rank_blocks(flat, [*ks, *os], block_rows, halo=reach)
+    new = columns(lambda name: F.col("_whole")[name], Window.partitionBy("block", *ks).orderBy("pos"))
+    return _unpacked(blocks.withColumns(new).filter("core"), df.columns, list(new))
+
+
+def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, before: str, after: str, block_rows: int = 65536) -> DataFrame:
+    """df with before and after: the last value that isn't null at or before a row of its series, and the first at or after it.
+
+    Inside a block by windows; over blocks the first and last values of each series in each block are carried, one
+    row for a block, so that a series may be of any size.
+    """
+    flat, ks, os = _packed(df, keys, order)
+    flat = flat.withColumn("_v", F.col("_whole")[value])
+    blocks = rank_blocks(flat, [*ks, *os], block_rows, halo=0)
+    known = F.when(F.col("_v").isNotNull(), F.col("pos"))
+    ends = blocks.groupBy("block", *ks).agg(F.max_by("_v", known).alias("_last"), F.min_by("_v", known).alias("_first"))
+    back, ahead = (Window.partitionBy(*ks).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("block", F.desc("block")))
+    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in ("block", *ks)], F.last("_last", ignorenulls=True).over(back).alias("_b"), F.last("_first", ignorenulls=True).over(ahead).alias("_a"))
+    # from the end on, a window ahead is one back: no frame is read again for each row
+    forth, home = (Window.partitionBy("block", *ks).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("pos", F.desc("pos")))
+    rows = blocks.withColumns({"_own_b": F.last("_v", ignorenulls=True).over(forth), "_own_a": F.last("_v", ignorenulls=True).over(home)})
+    same = F.col("block") == F.col("_block")
+    for k in ks:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = rows.join(ends, same).withColumns({before: F.coalesce("_own_b", "_b"), after: F.coalesce("_own_a", "_a")})
+    return _unpacked(rows, df.columns, [before, after])

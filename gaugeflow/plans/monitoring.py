@@ -108,8 +108,8 @@ def interval_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_CELLS} select cell_id, date, round(los_mm - first(los_mm) over (partition by cell_id order by date), 6) los_mm from c", dates=("date",))
 def from_first_epoch(spark: SparkSession, folder: str) -> DataFrame:
-    rows = user_days(spark, folder)
-    return rows.select("cell_id", "date", r(series.from_first("los_mm", ["cell_id"], ["date"])).alias("los_mm"))
+    rows = series.from_first(user_days(spark, folder), "los_mm", ["cell_id"], "date", "los_mm")
+    return rows.select("cell_id", "date", r("los_mm"))
 
 
 @query(f"""with {_CELLS}, p as (select *, lag(los_mm) over (partition by cell_id order by date) b from c)
@@ -133,13 +133,13 @@ select user_id, date, coalesce(last_value(value ignore nulls) over (partition by
   first_value(value ignore nulls) over (partition by user_id order by date rows between current row and unbounded following)) value from j""", dates=("date",))
 def filled_days(spark: SparkSession, folder: str) -> DataFrame:
     days = series.daily_max(table(spark, folder, "events").filter("event_type = 'purchase'"), "ts", ["value"], ["user_id"])
-    return days.select("user_id", "date", series.filled_along("value", ["user_id"], "date").alias("value"))
+    return series.filled_along(days, "value", ["user_id"], "date", "value").select("user_id", "date", "value")
 
 
 @query(f"""with {_CELLS}, l as (select *, lag(los_mm) over w a, lead(los_mm) over w b from c window w as (partition by cell_id order by date))
 select cell_id, date, round(case when a is null then b - los_mm when b is null then los_mm - a else (b - a) / 2 end, 6) gradient from l""", dates=("date",))
 def line_gradient(spark: SparkSession, folder: str) -> DataFrame:
-    return user_days(spark, folder).select("cell_id", "date", r(series.gradient("los_mm", ["cell_id"], "date")).alias("gradient"))
+    return series.gradient(user_days(spark, folder), "los_mm", ["cell_id"], "date", "gradient").select("cell_id", "date", r("gradient"))
 
 
 _NEAR = """with l as (select event_id, user_id, ts from events where event_type = 'purchase'), x as (select user_id, ts, value from events where event_type = 'error'),
