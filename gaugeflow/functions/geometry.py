@@ -6,18 +6,22 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rings with more edges than this should be cut up first: each edge is a term of the expression.
+#: Up to so many edges are terms of one generated expression; longer rings are searched by a vectorized function.
 MOST_EDGES = 2000
+#: Points and edges that are compared at a time.
+_AT_ONCE = 1 << 22
 
 
 def in_ring(x: Column, y: Column, ring: Sequence[Sequence[float]]) -> Column:
     """Whether a point lies in a ring (first and last vertex may be equal), by crossings; null for null."""
     edges = [(a, b) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True) if tuple(a[:2]) != tuple(b[:2])]
     if len(edges) > MOST_EDGES:
-        raise ValueError("the ring has too many edges")
+        return _in_long_ring(edges)(x.cast("double"), y.cast("double"))
     crossings = []
     for (x1, y1, *_), (x2, y2, *_) in edges:
         if y1 != y2:
@@ -28,6 +32,32 @@ def in_ring(x: Column, y: Column, ring: Sequence[Sequence[float]]) -> Column:
     return reduce(lambda a, b: a + b, crossings) % 2 == 1
 
 
+def _in_long_ring(edges: Sequence[tuple[Sequence[float], Sequence[float]]]):
+    """Arrow function (x, y) -> inside, by the same crossings: points in order of y meet only the edges that reach theirs."""
+    ends = np.array([(a[0], a[1], b[0], b[1]) for a, b in edges if a[1] != b[1]], float)
+    low, high = np.minimum(ends[:, 1], ends[:, 3]), np.maximum(ends[:, 1], ends[:, 3])
+
+    def inside(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        known = (xs.notna() & ys.notna()).to_numpy()
+        order = np.flatnonzero(known)[np.argsort(ys.to_numpy()[known], kind="stable")]
+        px, py = xs.to_numpy()[order], ys.to_numpy()[order]
+        count = np.zeros(len(order), np.int64)
+        # an edge reaches points from its low end to before its high end
+        first, last = np.searchsorted(py, low, "left"), np.searchsorted(py, high, "left")
+        n = last - first
+        cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + _AT_ONCE, _AT_ONCE))
+        for begin, end in zip(cuts[:-1], [*cuts[1:-1], len(n)], strict=True):
+            some = n[begin:end]
+            at = np.repeat(first[begin:end] - np.concatenate([[0], np.cumsum(some)[:-1]]), some) + np.arange(some.sum())
+            x1, y1, x2, y2 = np.repeat(ends[begin:end], some, axis=0).T
+            np.add.at(count, at, px[at] < (py[at] - y1) * ((x2 - x1) / (y2 - y1)) + x1)
+        out = np.full(len(xs), None, object)
+        out[order] = count % 2 == 1
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(inside, "boolean")
+
+
 def in_polygon(x: Column, y: Column, rings: Sequence[Sequence[Sequence[float]]]) -> Column:
     """Inside the first ring and outside the others, after a test against the first ring's box."""
     xs, ys = [p[0] for p in rings[0]], [p[1] for p in rings[0]]

@@ -146,3 +146,14 @@ def utm_coordinates(lat: Column, lon: Column, zone: Column) -> tuple[Column, Col
     rise = w * w / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(w, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * F.pow(w, 6) / 720
     north = k0 * (arc + n * F.tan(phi) * rise) + F.when(lat < 0, 10000000.0).otherwise(0.0)
     return east, north
+
+
+def los_mm(phase: Column, mm_per_radian: float) -> Column:
+    """Displacement of a wrapped phase along the line of sight."""
+    return phase * mm_per_radian
+
+
+def cell_key(lat: Column, lon: Column, digits: int = 6) -> Column:
+    """lat_lon as a text with fixed digits; null without both."""
+    part = lambda c: F.regexp_replace(F.format_number(c, digits), ",", "")
+    return F.concat(part(lat), F.lit("_"), part(lon))

@@ -88,8 +88,10 @@ USUAL = {"pressure": "kPa hPa MPa mbar", "temperature": "", "deformation": "mm c
 #: Costs in halves of nats: a part more, a prefix, another case, a mark that may divide, a prefix that is
 #: unusual for the field, the wrong dimension.
 _PART, _PREFIX, _CASE, _GUESS, _UNUSUAL, _WRONG = 2, 1, 1, 1, 3, 40
-#: No unit is longer; a longer text is none.
-_LONGEST = 24
+#: No unit costs more, which bounds the search in texts of any length.
+_MOST = 40
+#: Characters of texts whose readings are kept.
+_KEPT = 64
 
 
 class Unit(NamedTuple):
@@ -154,12 +156,16 @@ def _clean(text: str) -> str:
     return re.sub(r"\s+", " ", folded).strip(" .()[]")
 
 
-@lru_cache(maxsize=65536)
 def read_unit(text: str, quantity: str) -> Unit | None:
     """The unit that text denotes for a quantity; None if it is no unit of it, or an ambiguous one."""
+    return (_read_unit if len(text) <= _KEPT else _read_unit.__wrapped__)(text, quantity)
+
+
+@lru_cache(maxsize=65536)
+def _read_unit(text: str, quantity: str) -> Unit | None:
     wanted, _, common_size, common_zero = QUANTITIES[quantity]
     text = _clean(text)
-    if not text or len(text) > _LONGEST:
+    if not text:
         return None
     # at each place: (dimension, size, zero, sign of the next factor) -> least cost
     best: list[dict] = [{} for _ in range(len(text) + 1)]
@@ -167,6 +173,8 @@ def read_unit(text: str, quantity: str) -> Unit | None:
     for at in range(len(text)):
         for (dimension, size, zero, sign, first), cost in list(best[at].items()):
             for end, more, scale, start, spent in _factors(text, at, quantity):
+                if cost + spent > _MOST:
+                    continue
                 whole = tuple(a + sign * b for a, b in zip(dimension, more, strict=True))
                 total, origin = size * scale**sign, start if first else 0.0
                 if end == len(text):

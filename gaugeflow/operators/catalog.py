@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.nearby import boxes_of
+
 
 def bbox_polygon(west: Column, south: Column, east: Column, north: Column) -> Column:
     """Closed ring of a box as a polygon's coordinates."""
@@ -85,7 +87,10 @@ def item_errors(items: DataFrame, collections: DataFrame | None = None) -> DataF
     p = "properties."
     start, end = (F.col(p + c).try_cast("timestamp") for c in ("start_datetime", "end_datetime"))
     b = F.col("bbox")
-    outside = (F.size(b) >= 4) & ~((b[0] >= -180) & (F.get(b, F.lit(2)) <= 180) & (b[1] >= -90) & (F.get(b, F.lit(3)) <= 90)) & (F.size(b) == 4)
+    # with six numbers the third and sixth are heights
+    east, north = (F.when(F.size(b) == 6, F.get(b, F.lit(i + 1))).otherwise(F.get(b, F.lit(i))) for i in (2, 3))
+    inside = (F.get(b, F.lit(0)) >= -180) & (east <= 180) & (F.get(b, F.lit(1)) >= -90) & (north <= 90)
+    outside = F.size(b).isin(4, 6) & ~F.coalesce(inside, F.lit(False))
     known = F.lit(True)
     if collections is not None:
         items = items.join(F.broadcast(collections.select(F.col("collection").alias("_c")).distinct()), F.col("collection") == F.col("_c"), "left")
@@ -97,6 +102,7 @@ def item_errors(items: DataFrame, collections: DataFrame | None = None) -> DataF
         "no datetime": F.col(p + "datetime").isNull(),
         "empty interval": start >= end,
         "no bbox": b.isNull() | (F.size(b) == 0),
+        "bbox of another length": (F.size(b) > 0) & ~F.size(b).isin(4, 6),
         "bbox outside the world": outside,
     }
     return items.select("id", F.array_compact(F.array(*[F.when(t, F.lit(m)) for m, t in tests.items()])).alias("errors"))
@@ -123,15 +129,18 @@ def covered_share(boxes: Sequence[Sequence[float]], area: Sequence[float]) -> fl
 
 
 def collection_summary(items: DataFrame) -> DataFrame:
-    """(collection, n_items, mean_cloud, n_dates, west, south, east, north) of boxes with four numbers that don't cross 180."""
-    plain = (F.size("bbox") == 4) & (F.col("bbox")[0] <= F.get("bbox", F.lit(2)))
-    box = [F.when(plain, F.get("bbox", F.lit(i))) for i in range(4)]
-    return items.groupBy("collection").agg(
+    """(collection, n_items, mean_cloud, n_dates, west, south, east, north), extents of all usable boxes as from `boxes_of`.
+
+    A box that crosses 180 degrees counts as its two parts, so a collection with one reaches from -180 to 180.
+    """
+    found = items.groupBy("collection").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.avg("properties.`eo:cloud_cover`").alias("mean_cloud"),
         F.countDistinct(F.to_date(F.col("properties.datetime").try_cast("timestamp"))).alias("n_dates"),
-        *[f(b).alias(n) for f, b, n in zip((F.min, F.min, F.max, F.max), box, ("west", "south", "east", "north"), strict=True)],
     )
+    boxes = boxes_of(items.select(F.struct("collection").alias("key"), "bbox"), "key", "bbox").groupBy(F.col("region.collection").alias("_c"))
+    boxes = boxes.agg(F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
+    return found.join(boxes, F.col("collection").eqNullSafe(F.col("_c")), "left").drop("_c")
 
 
 def renamed_assets(items: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -167,3 +176,8 @@ def conformance(assets: DataFrame, required: Sequence[str], area: Sequence[float
     cover = covered_share([b for b in row.boxes if b], area) if area and row.boxes else 1.0
     scores = {"must_have": 50, "cloud": cloud, "dates": 20 if row.dates >= 3 else 0, "coverage": 10 if cover >= least_cover else 0}
     return {"total": sum(scores.values()), **scores}
+
+
+def without(items: DataFrame, gone: DataFrame, keys: Sequence[str] = ("collection", "id")) -> DataFrame:
+    """items without those of the keys of gone; with ("collection",) whole collections are deleted."""
+    return items.join(gone.select(*keys).distinct(), list(keys), "left_anti")

@@ -125,3 +125,8 @@ def complete_dates(bursts: DataFrame) -> DataFrame:
     grid = bursts.select("date").distinct().crossJoin(F.broadcast(most))  # at most a handful of subswaths
     seen = grid.join(counts, ["date", "subswath"], "left")
     return seen.groupBy("date").agg(F.bool_and(F.coalesce("n", F.lit(0)) == F.col("most")).alias("complete"))
+
+
+def long_rows(wide: DataFrame, values: str, keys: list[str], place: str = "place", value: str = "value") -> DataFrame:
+    """(keys, place, value): one row for each element of an array, numbered from 0; an empty or null array gives none."""
+    return wide.select(*keys, F.posexplode(values).alias(place, value))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.shards import running_total
 from gaugeflow.session import cut
 
 
@@ -145,3 +146,12 @@ def repair(dates: DataFrame, pairs: DataFrame, candidates: DataFrame, *, max_day
     for side in ("ref", "rep"):
         whole = whole.join(keep.select(F.col("date").alias(side)), side, "left_semi")
     return whole, added, dropped
+
+
+def ordinals(pairs: DataFrame) -> DataFrame:
+    """pairs (ref, rep, ...) with ref_index and rep_index: places from 0 among all dates of the network, in order."""
+    dates = pairs.select(F.explode(F.array("ref", "rep")).alias("date")).filter("date is not null").distinct().withColumn("_one", F.lit(1))
+    numbered = running_total(dates, [], ["date"], "_one", "_n")
+    for side in ("ref", "rep"):
+        pairs = pairs.join(numbered.select(F.col("date").alias(side), (F.col("_n") - 1).alias(f"{side}_index")), side, "left")
+    return pairs

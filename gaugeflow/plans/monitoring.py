@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import geometry, scores
 from gaugeflow.functions.columns import normal_name
-from gaugeflow.operators import audit, catalog, features, insar, joins, network, quality, raster, risk, series
-from gaugeflow.sources import detect, scenes, text_files, weather
+from gaugeflow.operators import audit, catalog, features, insar, joins, network, qc_service, quality, raster, risk, series
+from gaugeflow.plans import ingestion
+from gaugeflow.sources import detect, scenes, selection, text_files, weather
 from gaugeflow.sources.tables import table
 from gaugeflow.streaming import messages
 
@@ -126,13 +127,13 @@ def daily_maximum(spark: SparkSession, folder: str) -> DataFrame:
     return series.daily_max(table(spark, folder, "events"), "ts", ["value"], ["user_id"])
 
 
-@query(f"""with d as (select user_id, ts::date date, max(value) value from events where event_type = 'purchase' group by 1, 2),
+@query(f"""with d as (select user_id, ts::date date, max(value) value from events group by 1, 2),
 g as (select user_id, unnest(generate_series(min(date)::timestamp, max(date)::timestamp, interval 1 day))::date date from d group by 1),
 j as (select g.user_id, g.date, value from g left join d using (user_id, date))
 select user_id, date, coalesce(last_value(value ignore nulls) over (partition by user_id order by date rows unbounded preceding),
   first_value(value ignore nulls) over (partition by user_id order by date rows between current row and unbounded following)) value from j""", dates=("date",))
 def filled_days(spark: SparkSession, folder: str) -> DataFrame:
-    days = series.daily_max(table(spark, folder, "events").filter("event_type = 'purchase'"), "ts", ["value"], ["user_id"])
+    days = series.daily_max(table(spark, folder, "events"), "ts", ["value"], ["user_id"])
     return series.filled_along(days, "value", ["user_id"], "date", "value").select("user_id", "date", "value")
 
 
@@ -142,7 +143,7 @@ def line_gradient(spark: SparkSession, folder: str) -> DataFrame:
     return series.gradient(user_days(spark, folder), "los_mm", ["cell_id"], "date", "gradient").select("cell_id", "date", r("gradient"))
 
 
-_NEAR = """with l as (select event_id, user_id, ts from events where event_type = 'purchase'), x as (select user_id, ts, value from events where event_type = 'error'),
+_NEAR = """with l as (select event_id, user_id, ts from events where event_type <> 'error'), x as (select user_id, ts, value from events where event_type = 'error'),
 b as (select l.*, x.ts bts, x.value bv from l asof left join x on l.user_id = x.user_id and l.ts >= x.ts),
 a as (select l.event_id, x.ts ats, x.value av from l asof left join x on l.user_id = x.user_id and l.ts <= x.ts)"""
 
@@ -152,7 +153,7 @@ case when bts is null or ats is not null and epoch_us(ats) - epoch_us(ts) < epoc
 case when bts is null or ats is not null and epoch_us(ats) - epoch_us(ts) < epoch_us(ts) - epoch_us(bts) then av else bv end nearest_value from b join a using (event_id)""")
 def asof_nearest(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
-    left = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    left = events.filter("event_type <> 'error'").select("event_id", "user_id", "ts")
     right = events.filter("event_type = 'error'").select("user_id", "ts", "value")
     return series.nearest(left, right, keys=["user_id"], when="ts", right_when="ts", values=["value"]).drop("ts")
 
@@ -160,7 +161,7 @@ def asof_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{_NEAR} select event_id, user_id, round(case when epoch_us(ats) - epoch_us(bts) <= 432000000000 then bv + coalesce((epoch_us(ts) - epoch_us(bts)) / nullif(epoch_us(ats) - epoch_us(bts), 0), 0) * (av - bv) end, 6) linear_value from b join a using (event_id)")
 def asof_linear(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
-    left = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    left = events.filter("event_type <> 'error'").select("event_id", "user_id", "ts")
     right = events.filter("event_type = 'error'").select("user_id", "ts", "value")
     rows = series.interpolated(left, right, keys=["user_id"], when="ts", right_when="ts", value="value", max_gap_s=5 * 86400)
     return rows.select("event_id", "user_id", r("linear_value"))
@@ -169,12 +170,13 @@ def asof_linear(spark: SparkSession, folder: str) -> DataFrame:
 _TWO = "v as (select vec_id, embedding[1]::double lat, embedding[2]::double lon from embeddings)"
 
 
-@query(f"""with {_TWO}, p as (select vec_id::varchar as place, lat, lon from v where vec_id < 10)
+@query(f"""with {_TWO}, p as (select label::varchar as place, round(avg(embedding[1]::double), 9) lat, round(avg(embedding[2]::double), 9) lon from embeddings group by 1)
 select v.vec_id, arg_min(place, pow(p.lat - v.lat, 2) + pow(p.lon - v.lon, 2)) as location from v, p group by 1""")
 def nearest_place(spark: SparkSession, folder: str) -> DataFrame:
     points = table(spark, folder, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("lat"), F.col("embedding")[1].cast("double").alias("lon"))
-    # the ten stations are the operator's small side, not a cut of its input
-    places = points.filter("vec_id < 10").select(F.col("vec_id").cast("string").alias("location"), "lat", "lon")
+    # a station for each label, in the middle of its vectors
+    centre = [F.round(F.avg(F.col("embedding")[i].cast("double")), 9).alias(c) for i, c in enumerate(("lat", "lon"))]
+    places = table(spark, folder, "embeddings").groupBy(F.col("label").cast("string").alias("location")).agg(*centre)
     return joins.nearest_location(points, places).select("vec_id", "location")
 
 
@@ -277,11 +279,11 @@ def pair_statistics(spark: SparkSession, folder: str) -> DataFrame:
 _DOT = "list_dot_product(embedding::double[], r::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(r::double[], r::double[])))"
 
 
-@query(f"with q as (select embedding r from embeddings where vec_id = 0) select vec_id, round(acos(least(greatest({_DOT}, -1), 1)), 5) angle from embeddings, q")
+@query(f"with q as (select label, arg_min(embedding, vec_id) r from embeddings group by 1) select vec_id, round(acos(least(greatest({_DOT}, -1), 1)), 5) angle from embeddings join q using (label)")
 def spectral_angle(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
-    reference = rows.filter("vec_id = 0").agg(F.first("embedding").alias("_r"))  # one row
-    return rows.crossJoin(F.broadcast(reference)).select("vec_id", r(scores.spectral_angle(F.col("embedding"), F.col("_r")), 5).alias("angle"))
+    reference = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("_r"))  # one spectrum for each label
+    return rows.join(reference, "label").select("vec_id", r(scores.spectral_angle(F.col("embedding"), F.col("_r")), 5).alias("angle"))
 
 
 @query("""with b as (select event_id, value * 10 a, value * 20 b, value * 30 c, value * 5 d from events)
@@ -363,10 +365,10 @@ def latest_rows(spark: SparkSession, folder: str) -> DataFrame:
     return audit.latest(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), 20, "o_orderkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select distinct user_id from events where user_id not in (select c_custkey from customer)")
 def unseen_keys(spark: SparkSession, folder: str) -> DataFrame:
-    left = table(spark, folder, "customer").select(F.col("c_custkey"))
-    return joins.split_by_presence(left, table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])[1]
+    left = table(spark, folder, "events").select("user_id").distinct()
+    return joins.split_by_presence(left, table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id")), ["user_id"])[1]
 
 
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders)")
@@ -395,17 +397,23 @@ def catalog_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""select collection, count(*) n_items, round(avg(properties."eo:cloud_cover"), 6) mean_cloud, count(distinct try_cast(properties.datetime as timestamptz)::date) n_dates,
-min(bbox[1]) filter (where len(bbox) = 4 and bbox[1] <= bbox[3]) west, max(bbox[4]) filter (where len(bbox) = 4 and bbox[1] <= bbox[3]) north from stac_items group by 1""")
+min(case when b[1] <= b[3] then b[1] when b[1] > b[3] then -180 end) west, min(b[2]) south, max(case when b[1] <= b[3] then b[3] when b[1] > b[3] then 180 end) east, max(b[4]) north
+from (select *, case when len(bbox) = 6 then [bbox[1], bbox[2], bbox[4], bbox[5]] when len(bbox) = 4 then bbox end b from stac_items) group by 1""")
 def collection_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return catalog.collection_summary(table(spark, folder, "stac_items")).select("collection", "n_items", r("mean_cloud"), "n_dates", "west", "north")
+    return catalog.collection_summary(table(spark, folder, "stac_items")).withColumn("mean_cloud", r("mean_cloud"))
 
 
-@query("""select item_no, ((collection is null)::int + (properties.datetime is null)::int + (bbox is null or len(bbox) = 0)::int)::bigint n_errors from stac_items""")
+@query("""with b as (select *, properties p, case when len(bbox) = 6 then [bbox[1], bbox[2], bbox[4], bbox[5]] when len(bbox) = 4 then bbox end b from stac_items)
+select id, list_filter([case when id is null then 'no id' end, case when collection is null then 'no collection' end,
+  case when collection is not null and collection not in (select distinct collection from stac_items where collection is not null and properties."proj:epsg" is not null) then 'unknown collection' end,
+  case when p.datetime is null then 'no datetime' end, case when try_cast(p.start_datetime as timestamptz) >= try_cast(p.end_datetime as timestamptz) then 'empty interval' end,
+  case when bbox is null or len(bbox) = 0 then 'no bbox' end, case when len(bbox) > 0 and len(bbox) not in (4, 6) then 'bbox of another length' end,
+  case when b is not null and not coalesce(b[1] >= -180 and b[3] <= 180 and b[2] >= -90 and b[4] <= 90, false) then 'bbox outside the world' end], lambda x: x is not null)::varchar errors from b""")
 def item_errors(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "stac_items").withColumn("id", F.col("item_no"))
-    found = catalog.item_errors(items)
-    kinds = F.array(*map(F.lit, ("no collection", "no datetime", "no bbox")))
-    return found.select(F.col("id").alias("item_no"), F.size(F.array_intersect("errors", kinds)).cast("bigint").alias("n_errors"))
+    rows = table(spark, folder, "stac_items")
+    known = rows.filter("properties.`proj:epsg` is not null").select("collection")
+    found = catalog.item_errors(rows, known)
+    return found.select("id", F.concat(F.lit("["), F.array_join("errors", ", "), F.lit("]")).alias("errors"))
 
 
 @query("""with n as (select s_suppkey, s_name || '*' s_name from supplier where s_nationkey < 5) select s_suppkey, s_name from n union all select s_suppkey, s_name from supplier where s_suppkey not in (select s_suppkey from n)""")
@@ -415,9 +423,15 @@ def catalog_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.upsert(rows.select("s_suppkey", "s_name"), new, ["s_suppkey"])
 
 
-@query("select event_id, cast(json_extract(props, '$.k') as int) k from events")
+@query("""select event_id message_id, event_id % 7 = 0 dead, case when event_id % 7 <> 0 then event_type end sensor_type, case when event_id % 7 <> 0 then round(value, 6) end pressure_kpa from events""")
 def json_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """Events as messages, every seventh cut off: what is parsed against what was written."""
+    rows = table(spark, folder, "events")
+    text = F.to_json(F.struct(F.col("event_id").alias("message_id"), F.col("event_type").alias("sensor_type"), F.col("value").alias("pressure_kpa")))
+    raw = rows.select(F.when(F.col("event_id") % 7 == 0, F.concat(F.col("event_id").cast("string"), text)).otherwise(text).alias("value"))
+    found = messages.parsed(raw)
+    number = F.coalesce("message_id", F.regexp_extract("value", r"^(\d+)", 1).try_cast("bigint"))
+    return found.select(number.alias("message_id"), "dead", "sensor_type", r("pressure_kpa"))
 
 
 @query("select event_id, round((value - avg(value) over w) / stddev_pop(value) over w, 6) value_z from events window w as (partition by event_type)")
@@ -512,16 +526,15 @@ def quality_flags(spark: SparkSession, folder: str) -> DataFrame:
     return text_files.with_quality(table(spark, folder, "slope_readings").select("reading_id", "qc"))
 
 
-@query(f"""select platform, count(*) n_rows, min(measurement_date)::varchar "start", max(measurement_date)::varchar "end", min(location.lon) lon_min, max(location.lat) lat_max from {PH} group by 1""")
+@query(f"""select platform, count(*) n_rows, min(measurement_date)::varchar "start", max(measurement_date)::varchar "end", min(location.lon) lon_min, min(location.lat) lat_min, max(location.lon) lon_max, max(location.lat) lat_max, 'EPSG:4326' epsg from {PH} group by 1""")
 def dataset_extents(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, PH).select("platform", F.col("measurement_date").cast("string").alias("iso_timestamp"), "location.lon", "location.lat")
-    return text_files.dataset_metadata(rows, "platform").select("platform", "n_rows", "start", "end", "lon_min", "lat_max")
+    return text_files.dataset_metadata(rows, "platform")
 
 
 @query("select ts::date date from events union select o_orderdate::date from orders", dates=("date",))
 def union_of_dates(spark: SparkSession, folder: str) -> DataFrame:
-    a = table(spark, folder, "events").select(F.to_date("ts").alias("date"))
-    return a.unionByName(table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("date"))).distinct()
+    return joins.union_of_keys(table(spark, folder, "events").select(F.to_date("ts").alias("date")), table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("date")), ["date"])
 
 
 @query("select event_id, user_id from (select *, row_number() over (partition by user_id, ts::date order by ts, event_id) n from events) where n = 1")
@@ -575,3 +588,107 @@ def bilinear_samples(spark: SparkSession, folder: str) -> DataFrame:
     cells = table(spark, folder, "events").select(F.floor(F.col("event_id") / 100).alias("row"), (F.col("event_id") % 100).alias("col"), "value")
     points = table(spark, folder, "embeddings").select("vec_id", (5 + 20 * F.abs(F.col("embedding")[0]).cast("double")).alias("y"), (5 + 20 * F.abs(F.col("embedding")[1]).cast("double")).alias("x"))
     return raster.sampled(cells, points).select("vec_id", r("value", 4))
+
+
+@query(f"""with r as (select o_orderkey::varchar task_id, o_orderdate::timestamp s, case when o_orderstatus <> 'P' then o_orderdate::timestamp + to_days((o_orderkey % 5)::int) end e, o_orderstatus = 'F' ok from orders)
+select task_id, case when e is null then 'started' when ok then 'finished' else 'failed' end state, (epoch(e) - epoch(s))::double "seconds" from r""")
+def audit_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as runs, written as log events and read back as states."""
+    start = F.col("o_orderdate").cast("timestamp")
+    ended = F.when(F.col("o_orderstatus") != "P", F.timestamp_micros(F.unix_micros(start) + (F.col("o_orderkey") % 5) * 86_400_000_000))
+    runs = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("task_id"), start.alias("started"), ended.alias("ended"), (F.col("o_orderstatus") == "F").alias("ok"))
+    return audit.task_states(audit.task_events(runs)).select("task_id", "state", "seconds")
+
+
+@query("""with k as (select platform, reading_id, count(*) c from slope_readings group by all), d as (select platform, sum(c - 1) duplicates from k group by 1),
+f as (select platform, sum((qc = 0)::int) fault_rows, sum((qc is distinct from 0 and (depth is null or def_x is null or def_y is null or def_z is null or velocity is null))::int) missing_rows,
+  sum((qc is distinct from 0 and not coalesce(def_x between -100 and 100, true))::int) range_rows from slope_readings group by 1),
+s as (select platform dataset_id, case when duplicates > 0 or fault_rows > 0 or range_rows > 0 then 'Fail' when missing_rows > 0 then 'Warn' else 'Pass' end status,
+  '[' || concat_ws(', ', case when duplicates > 0 then 'repeated keys' end, case when fault_rows > 0 then 'sensor faults' end, case when range_rows > 0 then 'values out of range' end, case when missing_rows > 0 then 'missing values' end) || ']' errors from f join d using (platform))
+select 'in_situ' data_type, * from s
+union all select 'eo_raster', item_no::varchar, case when max(properties."eo:cloud_cover") > 50 then 'Fail' else 'Pass' end, case when max(properties."eo:cloud_cover") > 50 then '[null pixels]' else '[]' end from stac_items group by item_no""")
+def qc_routed(spark: SparkSession, folder: str) -> DataFrame:
+    """Each type of data by its controller: results of all datasets."""
+    readings = table(spark, folder, "slope_readings").select("reading_id", F.col("platform").alias("source"), "platform", "depth", "def_x", "def_y", "def_z", "velocity", "qc")
+    cover = F.coalesce(F.col("properties.`eo:cloud_cover`") > 50, F.lit(False))
+    items = table(spark, folder, "stac_items").select("item_no", F.when(cover, 1.0).otherwise(0.0).alias("null_pixel_pct"), F.lit(True).alias("is_geometrically_aligned"), F.lit("optical").alias("sensor_type"), F.lit(40.0).alias("snr"), F.array(*map(F.lit, quality.RASTER["required"])).alias("metadata_keys"))
+    found = qc_service.route("in_situ")(readings, "source", key="reading_id", qc="qc", platform="platform", limits={"def_x": (-100.0, 100.0)}).withColumn("data_type", F.lit("in_situ"))
+    found = found.unionByName(qc_service.route("eo_raster")(items, "item_no").withColumn("data_type", F.lit("eo_raster")))
+    return found.select("data_type", "dataset_id", "status", F.concat(F.lit("["), F.array_join("errors", ", "), F.lit("]")).alias("errors"))
+
+
+@query("select o_orderkey from orders where o_orderdate::date between '1994-03-01' and '1997-10-31' and o_orderdate::date not in ('1995-01-05', '1996-07-11') and month(o_orderdate) in (4, 5, 6, 7, 8, 9)")
+def scenes_selected(spark: SparkSession, folder: str) -> DataFrame:
+    """Processing window, excluded dates and months, with orders as scenes."""
+    scenes_ = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("datetime"))
+    kept = selection.without_dates(selection.processing_window(scenes_, "1994-03-01", "1997-10-31"), ["1995-01-05", "1996-07-11"])
+    return selection.in_months(kept, range(4, 10)).select("o_orderkey")
+
+
+@query("select o_orderkey from orders where o_orderdate::timestamptz >= '1994-03-01T00:00:00Z'::timestamptz and o_orderdate::timestamptz <= '1995-03-01T12:00:00Z'::timestamptz")
+def scenes_between(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.between(table(spark, folder, "orders"), "1994-03-01", "1995-03-01T12:00:00Z", when="o_orderdate").select("o_orderkey")
+
+
+@query("with c as (select c_nationkey, c_mktsegment, count(*) n from customer group by all), m as (select c_nationkey, max(n) n from c group by 1) select c_nationkey, min(c_mktsegment) c_mktsegment from c join m using (c_nationkey, n) group by 1")
+def most_frequent(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.most_frequent(table(spark, folder, "customer"), "c_mktsegment", ["c_nationkey"])
+
+
+@query("with c as (select l_linenumber, count(*) n from lineitem group by 1), p as (select min(l_linenumber) p from c where n = (select max(n) from c)) select l_orderkey, l_linenumber from lineitem, p where l_linenumber = p")
+def scenes_on_path(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.on_path(table(spark, folder, "lineitem"), column="l_linenumber").select("l_orderkey", "l_linenumber")
+
+
+@query("select event_type subswath, count(*) n, min(ts) \"first\", max(ts) \"last\" from events group by 1")
+def subswath_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.subswath_summary(table(spark, folder, "events").withColumnRenamed("event_type", "subswath"), when="ts")
+
+
+@query(f"""with {_CELLS}, a as (select *, (los_mm - lag(los_mm) over w) / nullif(date_diff('day', lag(date) over w, date), 0) rate, date_diff('day', lag(date) over w, date) as days from c window w as (partition by cell_id order by date))
+select cell_id, date, round(rate, 6) rate, round((rate - lag(rate) over (partition by cell_id order by date)) / nullif(days, 0), 6) acceleration from a""", dates=("date",))
+def accelerations(spark: SparkSession, folder: str) -> DataFrame:
+    return series.accelerations(user_days(spark, folder), "los_mm", ["cell_id"], "date").select("cell_id", "date", r("rate"), r("acceleration"))
+
+
+@query(f"""with {_PAIRS}, d as (select date, row_number() over (order by date) - 1 i from (select ref date from p union select rep from p))
+select ref, rep, a.i ref_index, b.i rep_index from p join d a on a.date = ref join d b on b.date = rep""", dates=("ref", "rep"))
+def pair_indices(spark: SparkSession, folder: str) -> DataFrame:
+    return network.ordinals(network.date_pairs(_dates(spark, folder), 3, 1.5)).select("ref", "rep", "ref_index", "rep_index")
+
+
+@query(f"select distinct platform, printf('%.4f_%.4f', location.lat, location.lon) cell from {PH} where location.lat is not null and location.lon is not null")
+def cell_keys(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, PH).select("platform", scores.cell_key(F.col("location.lat"), F.col("location.lon"), 4).alias("cell"))
+    return found.filter("cell is not null").distinct()
+
+
+@query("select event_id, round(value * -4.4, 6) los from events")
+def wrapped_to_mm(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", r(scores.los_mm(F.col("value"), -4.4)).alias("los"))
+
+
+@query("select vec_id, i - 1 place, round(embedding[i]::double, 6) \"value\" from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) i from embeddings)")
+def long_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return insar.long_rows(table(spark, folder, "embeddings"), "embedding", ["vec_id"]).select("vec_id", "place", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query(f"""select platform, count(*) n_rows, coalesce(max(sensor), 'sensor') data_source, 'stream' format, 'streaming' mode, 'in_situ' as type, 'EPSG:4326' crs from (select platform, null::varchar sensor from sensor_messages where platform is not null) group by 1""")
+def stream_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "sensor_messages").filter("platform is not null").select("platform", F.col("timestamp").alias("iso_timestamp"))
+    return ingestion.stream_metadata(rows, "platform").select(F.col("dataset_id").alias("platform"), "n_rows", "data_source", "format", "mode", "type", "crs")
+
+
+@query("select c_custkey, (select count(*) from orders where o_custkey = c_custkey) n, (c_custkey % 20)::bigint expected, (select count(*) from orders where o_custkey = c_custkey) = c_custkey % 20 ok from customer")
+def import_counts(spark: SparkSession, folder: str) -> DataFrame:
+    expected = table(spark, folder, "customer").select("c_custkey", (F.col("c_custkey") % 20).alias("expected"))
+    return ingestion.count_checks(table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")), expected, "c_custkey")
+
+
+@query("select distinct l_orderkey, l_linenumber, l_returnflag || '_B0' || l_linenumber || '.jp2' band_file from lineitem")
+def band_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line's file in two folders: the finer one is taken."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.lit("_B0"), "l_linenumber", F.lit(".jp2")).alias("name"))
+    paths = rows.withColumn("path", F.explode(F.array(F.concat(F.lit("/p/R20m/"), "name"), F.concat(F.lit("/p/R10m/"), "name"))))
+    finest = paths.groupBy("l_orderkey", "l_linenumber").agg(F.min(selection.band_order(F.col("path"))).alias("f"))
+    return finest.select("l_orderkey", "l_linenumber", F.regexp_extract("f.path", r"/R10m/([^/]*)$", 1).alias("band_file"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -126,7 +127,9 @@ def sync(spark: SparkSession, sources: Sequence[Mapping[str, Any]], *, area: str
             stored = spark.read.parquet(log).filter("error is null").select("product_id")
         except Exception:  # noqa: BLE001 there is no log before the first run
             stored = products.select("product_id").limit(0)
-        rows = download_missing(products, stored, tool, target_folder(root, given["target_dir"])).persist()
-        rows.write.mode("append").parquet(log)
+        # a folder of its own: the log that decides what is missing isn't read again once this run is in it
+        path = f"{log.rstrip('/')}/run={uuid.uuid4().hex}"
+        download_missing(products, stored, tool, target_folder(root, given["target_dir"])).write.parquet(path)
+        rows = spark.read.schema("product_id string, path string, error string").parquet(path)
         done = rows if done is None else done.unionByName(rows)
     return done if done is not None else spark.createDataFrame([], "product_id string, path string, error string")

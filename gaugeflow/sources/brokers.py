@@ -14,35 +14,62 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 Poller = Callable[[Mapping[str, str], dict], tuple[list[str], dict]]
-#: Records in a call and seconds to wait on the topic.
-RECORDS, WAIT_S = 100, 1.0
+#: Records in a call, seconds to wait on the topic, and between calls (five a second are allowed).
+RECORDS, WAIT_S, PAUSE_S = 100, 1.0, 0.2
 
 
 def poll_lines(options: Mapping[str, str], position: dict) -> tuple[list[str], dict]:
-    """New whole lines of a growing file."""
+    """New whole lines of a growing file; a line longer than the option bytes is read whole."""
     with open(options["path"], "rb") as lines:
         lines.seek(position.get("at", 0))
         data = lines.read(int(options.get("bytes", 1 << 20)))
+        if b"\n" not in data:
+            data += lines.readline()
     whole = data[: data.rfind(b"\n") + 1]
     return whole.decode("utf-8", "replace").splitlines(), {"at": position.get("at", 0) + len(whole)}
 
 
 def poll_kinesis(options: Mapping[str, str], position: dict) -> tuple[list[str], dict]:
-    """Records of all shards of a stream, each from its own sequence number."""
-    import boto3
+    """Records of all shards of a stream, each from its own sequence number.
 
-    client = boto3.client("kinesis", region_name=options.get("region"))
+    A shard that had no record yet is read from the time of its first poll, which the position keeps, so that
+    nothing between two polls is lost; with from=TRIM_HORIZON from its beginning.
+    """
+    client = _kinesis(options)
     texts, after = [], dict(position)
-    for shard in client.list_shards(StreamName=options["stream"])["Shards"]:
-        name = shard["ShardId"]
-        start = {"ShardIteratorType": "AFTER_SEQUENCE_NUMBER", "StartingSequenceNumber": after[name]} if name in after else {"ShardIteratorType": options.get("from", "LATEST")}
+    for name in _shards(client, options["stream"]):
+        seen = after.get(name)
+        if isinstance(seen, str):
+            start = {"ShardIteratorType": "AFTER_SEQUENCE_NUMBER", "StartingSequenceNumber": seen}
+        elif options.get("from", "LATEST") == "LATEST":
+            seen = after.setdefault(name, time.time() if seen is None else seen)
+            start = {"ShardIteratorType": "AT_TIMESTAMP", "Timestamp": seen}
+        else:
+            start = {"ShardIteratorType": options["from"]}
         found = client.get_records(ShardIterator=client.get_shard_iterator(StreamName=options["stream"], ShardId=name, **start)["ShardIterator"], Limit=RECORDS)
         for record in found["Records"]:
             texts.append(record["Data"].decode("utf-8", "replace"))
             after[name] = record["SequenceNumber"]
+        time.sleep(PAUSE_S)
     return texts, after
 
 
+def _kinesis(options: Mapping[str, str]):
+    import boto3
+
+    return boto3.client("kinesis", region_name=options.get("region"))
+
+
+def _shards(client, stream: str) -> list[str]:
+    """Names of all shards of a stream, page by page."""
+    page = client.list_shards(StreamName=stream)
+    names = [s["ShardId"] for s in page["Shards"]]
+    while token := page.get("NextToken"):
+        page = client.list_shards(NextToken=token)
+        names += [s["ShardId"] for s in page["Shards"]]
+    return names
+
+
 def poll_mqtt(options: Mapping[str, str], position: dict) -> tuple[list[str], dict]:
     """Messages that reach a topic while it is listened to; the broker keeps no position."""
     import paho.mqtt.client as mqtt

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.sources.settings import DataError, SettingsError
@@ -97,10 +97,15 @@ def require_increasing(displacement: DataFrame, date_column: str = "date", order
 BAND_FOLDERS = ("R10m", "R20m", "R60m")
 
 
+def band_order(path: Column) -> Column:
+    """(rank, path): the least is a band's finest file; folders that aren't a resolution come last."""
+    folder = F.regexp_extract(path, r"/(R\d+m)/[^/]*$", 1)
+    place = F.array_position(F.array(*map(F.lit, BAND_FOLDERS)), folder)
+    return F.struct(F.when(place > 0, place).otherwise(len(BAND_FOLDERS) + 1).alias("rank"), path.alias("path"))
+
+
 def product_bands(files: DataFrame, path: str = "path") -> DataFrame:
     """(band, path): a product's band files, each band from the finest folder that has it, else from the product's root."""
-    folder = F.regexp_extract(path, r"/(R\d+m)/[^/]*$", 1)
     band = F.upper(F.regexp_extract(path, r"_(B\d[0-9A]|SCL|TCI)(?:_\d+m)?\.[^./]+$", 1))
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, BAND_FOLDERS)), folder), F.lit(0)), F.lit(len(BAND_FOLDERS) + 1))
-    rows = files.select(band.alias("band"), F.struct(rank.alias("r"), F.col(path).alias("path")).alias("_f")).filter("band != ''")
+    rows = files.select(band.alias("band"), band_order(F.col(path)).alias("_f")).filter("band != ''")
     return rows.groupBy("band").agg(F.min("_f")["path"].alias("path"))

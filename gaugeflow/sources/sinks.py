@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import math
 import os
@@ -46,11 +47,21 @@ def strict_json(value: Any) -> Any:
 
 
 def save_manifest(path: str, content: Mapping[str, Any]) -> None:
-    """Write a small JSON file whole or not at all."""
+    """Write a small JSON file whole or not at all; path is one of the driver's machine or a URI."""
+    text = json.dumps(strict_json(dict(content)), indent=2, default=str, allow_nan=False)
+    if "://" in path:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        system.create_dir(at.rsplit("/", 1)[0])
+        with system.open_output_stream(f"{at}.part") as out:
+            out.write(text.encode())
+        system.move(f"{at}.part", at)
+        return
     folder = os.path.dirname(path) or "."
     os.makedirs(folder, exist_ok=True)
     with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as out:
-        json.dump(strict_json(dict(content)), out, indent=2, default=str, allow_nan=False)
+        out.write(text)
     os.replace(out.name, path)
 
 
@@ -62,11 +73,46 @@ def save_stage(df: DataFrame, path: str, keys: list[str], manifest: Mapping[str,
     save_manifest(f"{path}/manifest.json", {**manifest, "rows": df.sparkSession.read.parquet(f"{path}/rows").count(), "complete": True})
 
 
+def _text(path: str) -> str:
+    if "://" in path:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(at) as file:
+            return file.read().decode()
+    with open(path) as file:
+        return file.read()
+
+
+def save_rasters(df: DataFrame, path: str, product: str, units: str, *, by: str = "date", tags: Mapping[str, str] | None = None) -> None:
+    """Cells (by, row, col, value, ...) of a product by date or pair: path/product=.../<by>=..., units and tags as columns.
+
+    Only the dates or pairs that df has are replaced. Writing a picture of them is left to a reader of the table.
+    """
+    rows = df.withColumns({"product": F.lit(product), "units": F.lit(units), **{f"tag_{k}": F.lit(v) for k, v in (tags or {}).items()}})
+    save_partitions(rows, path, ["product", by])
+
+
+def save_diagnostics(df: DataFrame, path: str) -> None:
+    """A table as CSV and as JSON lines without NaN: path/csv and path/json."""
+    kinds = dict(df.dtypes)
+    save_csv(df, f"{path}/csv")
+    whole = df.withColumns({c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)) for c in df.columns if kinds[c] in ("double", "float")})
+    whole.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/json")
+
+
+def run_summary(folder: str, started: dt.datetime, stages: Mapping[str, str], versions: Mapping[str, str], failure: BaseException | None = None) -> str:
+    """Write a run's summary to a folder named by its start, and give its path: versions, state of each stage, kind of failure."""
+    path = f"{folder.rstrip('/')}/{started:%Y%m%dT%H%M%S%f}/summary.json"
+    state = "failed" if failure else "finished"
+    save_manifest(path, {"started": started.isoformat(), "state": state, "stages": dict(stages), "versions": dict(versions), "failure": type(failure).__name__ if failure else None})
+    return path
+
+
 def open_stage(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows of a complete stage, else None."""
     try:
-        with open(f"{path}/manifest.json") as manifest:
-            complete = json.load(manifest).get("complete")
+        complete = json.loads(_text(f"{path}/manifest.json")).get("complete")
     except OSError:
         return None
     return spark.read.parquet(f"{path}/rows") if complete else None

@@ -18,12 +18,19 @@ MESSAGE_LIMITS = {"pressure_kpa": (0.0, 10_000.0), "temperature_c": LIMITS["temp
 def source(spark: SparkSession, settings: Mapping[str, str]) -> DataFrame | None:
     """(value) of a stream: kind kafka, files or rate; None if the kind isn't configured.
 
-    Kafka needs Spark's connector on the classpath; topics, servers and the group come from the settings.
+    Kafka needs Spark's connector on the classpath. From the settings come topics, servers and, if given, group,
+    offsets (where a new stream begins), poll (records a batch), data_loss ('fail', the default, or 'go on' where
+    offsets are lost). Offsets are kept in the stream's checkpoint, so the broker's commits aren't used.
     """
     kind = settings.get("kind")
     if kind == "kafka":
         reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", settings["servers"]).option("subscribe", settings["topics"])
-        return reader.option("startingOffsets", settings.get("offsets", "latest")).option("failOnDataLoss", "false").load().select(F.col("value").cast("string").alias("value"))
+        if "group" in settings:
+            reader = reader.option("kafka.group.id", settings["group"])
+        if "poll" in settings:
+            reader = reader.option("maxOffsetsPerTrigger", settings["poll"])
+        reader = reader.option("startingOffsets", settings.get("offsets", "latest")).option("failOnDataLoss", str(settings.get("data_loss", "fail") == "fail").lower())
+        return reader.load().select(F.col("value").cast("string").alias("value"))
     if kind == "files":
         return spark.readStream.schema("value string").option("maxFilesPerTrigger", settings.get("files", "100")).text(settings["path"])
     if kind == "rate":

@@ -162,11 +162,35 @@ def test_labels_by_size(spark):
     assert (5, 0) not in got
 
 
-def test_nearest_location_and_refusal(spark):
+def test_nearest_location_of_few_and_many_places(spark):
     cells = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0), (3, None, 1.0)], "i int, lat double, lon double")
     places = spark.createDataFrame([("b", 0.0, 1.0), ("a", 0.0, -1.0), ("c", 10.0, 10.0)], "location string, lat double, lon double")
     assert {r.i: r.location for r in joins.nearest_location(cells, places).collect()} == {1: "a", 2: "c", 3: None}
-    with pytest.raises(ValueError):
-        joins.nearest_location(cells, places, most_places=2)
+    assert {r.i: r.location for r in joins.nearest_location(cells, places, most_places=2).collect()} == {1: "a", 2: "c", 3: None}
+    random = np.random.default_rng(2)
+    at = [(i, float(y), float(x)) for i, (y, x) in enumerate(random.normal(0, 1, (300, 2)) * random.choice([0.01, 5.0], (300, 1)))]
+    there = [(f"p{i:03d}", float(y), float(x)) for i, (y, x) in enumerate(random.normal(0, 1, (200, 2)) * random.choice([0.01, 3.0], (200, 1)))]
+    some, every = spark.createDataFrame(at, "i int, lat double, lon double"), spark.createDataFrame(there, "location string, lat double, lon double")
+    brute = {i: min(((v - y) ** 2 + (u - x) ** 2, n) for n, v, u in there)[1] for i, y, x in at}
+    assert {r.i: r.location for r in joins.nearest_location(some, every, most_places=10).collect()} == brute == {r.i: r.location for r in joins.nearest_location(some, every).collect()}
     with pytest.raises(ValueError):
         joins.aligned(cells, cells.filter("i < 3"), ["i"])
+
+
+def test_carried_over_blocks_and_clashing_names(spark):
+    """Known values carried over blocks without any, in two series with names that the operator uses itself."""
+    from gaugeflow.operators.shards import carried
+
+    values = [None, 1.0] + [None] * 20 + [2.0, None]
+    rows = [(k, i, v, "x", 7) for k in ("a", None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "block string, pos int, _v double, _whole string, core int")
+    got = {(r.block, r.pos): (r.b, r.a) for r in carried(df, ["block"], ["pos"], "_v", "b", "a", block_rows=4).collect()}
+    for k in ("a", None):
+        assert got[k, 0] == (None, 1.0) and got[k, 1] == (1.0, 1.0) and got[k, 10] == (1.0, 2.0) and got[k, 23] == (2.0, None)
+    assert carried(df.limit(0), ["block"], ["pos"], "_v", "b", "a").count() == 0
+
+
+def test_accelerations(spark):
+    df = spark.createDataFrame([("a", day(0), 0.0), ("a", day(2), 4.0), ("a", day(3), 9.0), ("b", day(0), 1.0)], "k string, d date, v double")
+    got = {(r.k, r.d): (r.rate, r.acceleration) for r in series.accelerations(df, "v", ["k"], "d").collect()}
+    assert got == {("a", day(0)): (None, None), ("a", day(2)): (2.0, None), ("a", day(3)): (5.0, 3.0), ("b", day(0)): (None, None)}
