@@ -327,12 +327,20 @@ def date_components(spark: SparkSession, folder: str) -> DataFrame:
     return network.components(dates.select(F.col("date").alias("node")), network.date_pairs(dates, 3, 1.5).select(F.col("ref").alias("a"), F.col("rep").alias("b")))
 
 
-@query()
+_GRID = f"""recursive {_DATES}, g(days, metres) as (values (2, 1.0), (2, 3.0), (4, 1.0), (4, 3.0)),
+p as (select days, metres, x.date ref, y.date rep from g, a x join a y on x.date < y.date where date_diff('day', x.date, y.date) <= days and abs(y.baseline - x.baseline) <= metres),
+e as (select days, metres, ref a, rep b from p union all select days, metres, rep, ref from p),
+t(days, metres, node, root) as (select days, metres, date, date from g, a union select t.days, t.metres, e.b, t.root from t join e on e.days = t.days and e.metres = t.metres and e.a = t.node),
+c as (select days, metres, node, min(root) root from t group by all),
+n as (select days::int as days, metres::double metres, (select count(*) from p where p.days = c.days and p.metres = c.metres) n_pairs, count(distinct root) n_components from c group by c.days, c.metres)"""
+
+
+@query(f"with {_GRID} select * from n")
 def network_grid(spark: SparkSession, folder: str) -> DataFrame:
     return network.network_grid(_dates(spark, folder), [2, 4], [1.0, 3.0])
 
 
-@query()
+@query(f"with {_GRID} select * from n order by n_components, n_pairs, days, metres limit 1")
 def best_network(spark: SparkSession, folder: str) -> DataFrame:
     return network.best_network(network.network_grid(_dates(spark, folder), [2, 4], [1.0, 3.0]))
 
@@ -569,7 +577,11 @@ def solved_network(spark: SparkSession, folder: str) -> DataFrame:
     return insar.solve_network(pixels, 1.0)
 
 
-@query()
+@query("""with recursive m as (select event_id // 100 y, event_id % 100 x from events where value > 60),
+e as (select a.y ay, a.x ax, b.y by_, b.x bx from m a join m b on abs(a.y - b.y) + abs(a.x - b.x) = 1),
+t(y, x, r) as (select y, x, y * 100 + x from m union select e.by_, e.bx, t.r from t join e on e.ay = t.y and e.ax = t.x),
+c as (select y, x, min(r) r from t group by 1, 2), s as (select r, count(*) n from c group by 1 having count(*) >= 4), l as (select r, row_number() over (order by n desc, r)::int as label from s)
+select y::int as "row", x::int col, label from c join l using (r)""")
 def water_bodies(spark: SparkSession, folder: str) -> DataFrame:
     mask = table(spark, folder, "events").filter("value > 60").select(F.floor(F.col("event_id") / 100).cast("int").alias("row"), (F.col("event_id") % 100).cast("int").alias("col"))
     return raster.labelled(mask)
@@ -657,9 +669,9 @@ def pair_indices(spark: SparkSession, folder: str) -> DataFrame:
     return network.ordinals(network.date_pairs(_dates(spark, folder), 3, 1.5)).select("ref", "rep", "ref_index", "rep_index")
 
 
-@query(f"select distinct platform, printf('%.4f_%.4f', location.lat, location.lon) cell from {PH} where location.lat is not null and location.lon is not null")
+@query(f"select distinct platform, printf('%.6f_%.6f', location.lat, location.lon) cell from {PH} where location.lat is not null and location.lon is not null")
 def cell_keys(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, PH).select("platform", scores.cell_key(F.col("location.lat"), F.col("location.lon"), 4).alias("cell"))
+    found = table(spark, folder, PH).select("platform", scores.cell_key(F.col("location.lat"), F.col("location.lon"), 6).alias("cell"))
     return found.filter("cell is not null").distinct()
 
 
@@ -685,7 +697,7 @@ def import_counts(spark: SparkSession, folder: str) -> DataFrame:
     return ingestion.count_checks(table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")), expected, "c_custkey")
 
 
-@query("select distinct l_orderkey, l_linenumber, l_returnflag || '_B0' || l_linenumber || '.jp2' band_file from lineitem")
+@query("select l_orderkey, l_linenumber, min(l_returnflag) || '_B0' || l_linenumber || '.jp2' band_file from lineitem group by 1, 2")
 def band_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each line's file in two folders: the finer one is taken."""
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.lit("_B0"), "l_linenumber", F.lit(".jp2")).alias("name"))

@@ -24,7 +24,7 @@ def _flags(spark: SparkSession, folder: str, fence: float | None) -> DataFrame:
 
 
 def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return _flags(spark, folder, fence=6.0)
+    return _flags(spark, folder, fence=6.0).withColumns({c: F.round(c, 6) for c in ("value", "level", "scatter")})
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,11 +37,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_series(spark: SparkSession, folder: str) -> DataFrame:
-    return regular_series(table(spark, folder, "sensor_messages"), table(spark, folder, "sensor_kinds"))
+    found = regular_series(table(spark, folder, "sensor_messages"), table(spark, folder, "sensor_kinds"))
+    return found.withColumns({c: F.round(c, 4) for c in ("pressure_kpa", "temperature_c")})
 
 
 def p3_values(spark: SparkSession, folder: str) -> DataFrame:
-    return to_common_units(table(spark, folder, "raw_records"), table(spark, folder, "table_columns"))
+    found = to_common_units(table(spark, folder, "raw_records"), table(spark, folder, "table_columns"))
+    return found.select("record_id", "file_id", "ordinal", "quantity", F.round("reading", 6).alias("reading"), F.round("value", 4).alias("value"), "converted")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +62,7 @@ def _instants(spark: SparkSession, folder: str, distinct: bool) -> DataFrame:
 
 
 def p4_instants(spark: SparkSession, folder: str) -> DataFrame:
-    return _instants(spark, folder, distinct=True)
+    return _instants(spark, folder, distinct=True).withColumn("posterior", F.round("posterior", 6))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,8 +99,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_flags, p2_found, p2_series, p3_found, p3_values, p4_found, p4_instants, p5_found, p5_catalogue, p5_cells, p5_table, p6_found)}
 
-def _instants_sql() -> str:
-    """One CASE for each form of text; the earlier of two instants for an hour that occurs twice."""
+def _instants_sql(every: bool = False) -> str:
+    """One CASE for each form of text; the earlier of two instants for an hour that occurs twice. every: all texts, with form and status."""
     clock, zone = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?", r" ?(z|[+-]\d{2}(?::?\d{2})?|utc|gmt|[a-z]{3,4})?"
     forms = {
         "iso": (r"(\d{4})-(\d{2})-(\d{2})[t ]" + clock + zone, "y m d h n s f z"),
@@ -115,23 +117,33 @@ def _instants_sql() -> str:
         parts = ", ".join(f"x.{k}" if k in names.split() else "''" for k in keys)
         cases.append(f"when regexp_full_match(t, '{pattern}') then (select [{parts}] from (select regexp_extract(t, '^{pattern}$', [{groups}]) x))")
     months = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+    named = " ".join(f"when regexp_full_match(t, '{pattern}') then '{ {'half': 'month_first_12h', 'day': 'day_first'}.get(name, name)}'" for name, (pattern, _) in forms.items())
+    digits = "case when n < 100000000000 then 's' when n < 100000000000000 then 'ms' when n < 100000000000000000 then 'us' else 'ns' end"
+    canonical = r"regexp_full_match(text, '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ')"
+    kept = "" if every else f"where text is not null and not {canonical}"
+    status = f"case when utc_us is null then 'none' when {canonical} then 'canonical' else 'converted' end"
+    last = (
+        f"select distinct source_table, field_name, platform source, row_key as key, text, utc_us::bigint utc_us, case when utc_us is not null then case when n is not null then {digits} else case {named} end end end form, case when utc_us is not null then 1.0::double end posterior, {status} status from o"
+        if every
+        else "select distinct source_table, field_name, row_key, utc_us::bigint utc_us from o where utc_us is not null"
+    )
     offsets = "case p[11] when 'z' then 0 when 'utc' then 0 when 'gmt' then 0 when 'wet' then 0 when 'west' then 60 when 'cet' then 60 when 'cest' then 120 when 'mst' then -420 when 'mdt' then -360 end"
     return rf"""
-with r as (select 'slope_readings' source_table, 'timestamp' field_name, reading_id row_key, timestamp as text, coalesce(logger_tz, 'UTC') tz from slope_readings
-  union select 'stac_items', 'start_datetime', item_no, properties.start_datetime, 'UTC' from stac_items union select 'stac_items', 'end_datetime', item_no, properties.end_datetime, 'UTC' from stac_items),
-t as (select *, lower(trim(text)) t from r where text is not null and not regexp_full_match(text, '\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\dZ')),
+with r as (select 'slope_readings' source_table, 'timestamp' field_name, reading_id row_key, timestamp as text, coalesce(logger_tz, 'UTC') tz, platform from slope_readings
+  union select 'stac_items', 'start_datetime', item_no, properties.start_datetime, 'UTC', properties.platform from stac_items union select 'stac_items', 'end_datetime', item_no, properties.end_datetime, 'UTC', properties.platform from stac_items),
+t as (select *, lower(trim(text)) t from r {kept}),
 p as (select *, case {" ".join(cases)} end p, case when regexp_full_match(t, '\d{{9,20}}') then t::hugeint end n from t),
 w as (select *, (case when p[4] <> '' then try_cast(p[1] || '-01-01' as date) + (try_cast(p[4] as int) - 1)
     else try_cast(p[1] || '-' || lpad(case when p[5] <> '' then list_position({months}, p[5])::varchar else p[2] end, 2, '0') || '-' || lpad(p[3], 2, '0') as date) end)::timestamp
   + to_hours(case when p[10] = '' then p[6]::int else p[6]::int % 12 + (p[10] = 'p')::int * 12 end) + to_minutes(p[7]::int) + to_seconds(coalesce(try_cast(p[8] as int), 0))
   + to_microseconds(coalesce(try_cast(rpad(left(p[9], 6), 6, '0') as int), 0) * (p[9] <> '')::int) wall from p),
 z as (select *, epoch_us(timezone(tz, wall)) late from w),
-o as (select source_table, field_name, row_key, case
+o as (select source_table, field_name, row_key, platform, text, t, n, case
   when n is not null then case when n < 100000000000 then n * 1000000 when n < 100000000000000 then n * 1000 when n < 100000000000000000 then n else n // 1000 end
   when p[11] similar to '[+-].*' then epoch_us(wall) - (case when p[11][1] = '-' then -1 else 1 end * (substr(p[11], 2, 2)::int * 60 + coalesce(try_cast(right(replace(p[11][4:], ':', ''), 2) as int), 0))) * 60000000::bigint
   when p[11] <> '' then epoch_us(wall) - {offsets} * 60000000::bigint
   when timezone(tz, make_timestamptz(late - 3600000000)) = wall then late - 3600000000 else late end utc_us from z)
-select distinct source_table, field_name, row_key, utc_us::bigint utc_us from o where utc_us is not null"""
+{last}"""
 
 
 _MESSAGES = """
@@ -144,8 +156,8 @@ g as (select *, lead(slot) over (partition by platform order by slot) following
 
 
 
-def _spikes_sql() -> str:
-    """Runs, ranges and short runs that stand off, by windows over whole platforms; exact quartiles."""
+def _spikes_sql(fence: float | None = None) -> str:
+    """Runs, ranges and short runs that stand off, by windows over whole platforms; exact quartiles. fence: all reasons of all flags."""
     med = "(list_aggregate({0}, 'median'))"
     near = ", ".join(f"lag(v, {i}) over w p{i}, lead(v, {i}) over w n{i}" for i in range(1, 8))
     past, coming = "[" + ", ".join(f"p{i}" for i in range(1, 8)) + "]", "[" + ", ".join(f"n{i}" for i in range(1, 8)) + "]"
@@ -160,15 +172,24 @@ def _spikes_sql() -> str:
             b, a = (f"b{j}" if j else "b"), (f"a{length - 1 - j}" if length - 1 - j else "a")
             off = ", ".join(f"abs({at(i)} - {side})" for i in range(-j, length - j) for side in (b, a))
             spans.append(f"({b} is not null and {a} is not null and least({off}) >= 8 * s and greatest(abs({at(-j - 1)} - {b}), abs({at(length - j)} - {a})) < 8 * s)")
+    if fence is None:
+        last = f"select id from h where frozen or not (v between 0 and 14) union select id from x join q using (platform) where {' or '.join(spans)}"
+    else:
+        beyond = lambda v, low, high: f"{v} < {low} - {fence} * greatest({high} - {low}, 0.01) or {v} > {high} + {fence} * greatest({high} - {low}, 0.01)"
+        last = f"""select platform source, id as key, round(v, 6) as value, reason, round(l, 6) as level, round(s, 6) scatter from (
+  select platform, id, v, case when not (v between 0 and 14) then 'range' else 'frozen' end reason, null::double l, null::double s from h where frozen or not (v between 0 and 14)
+  union all select platform, id, v, case when {' or '.join(spans)} then 'spike' when {beyond('v - l', 'q1', 'q3')} then 'fence' when {beyond('rate', 'r1', 'r3')} then 'rate' end, l, s
+  from x join q using (platform)) where reason is not null"""
     return f"""
 with d as (select distinct id, platform, measurement_date t, ph::double v from {PH} where ph is not null),
 r as (select *, count(*) over f = 8 and min(v) over f = max(v) over f e from d window f as (partition by platform order by t, id rows 7 preceding)),
 h as (select *, max(e) over (partition by platform order by t, id rows between current row and 7 following) frozen from r),
-g as (select id, platform, t, v, {near} from h where not frozen and v between 0 and 14 window w as (partition by platform order by t, id)),
-m as (select *, {med.format(past)} b, {med.format(coming)} a, {med.format(f"list_concat({past}, {coming})")} l from g),
-q as (select platform, greatest((quantile_disc(v - l, 0.75) - quantile_disc(v - l, 0.25)) / 1.349, 0.005) s from m group by 1),
+g as (select id, platform, t, v, lag(t) over w tp, {near} from h where not frozen and v between 0 and 14 window w as (partition by platform order by t, id)),
+m as (select *, abs(v - p1) / nullif(date_diff('day', tp, t), 0) rate, {med.format(past)} b, {med.format(coming)} a, {med.format(f"list_concat({past}, {coming})")} l from g),
+q as (select platform, greatest((quantile_disc(v - l, 0.75) - quantile_disc(v - l, 0.25)) / 1.349, 0.005) s,
+  quantile_disc(v - l, 0.25) q1, quantile_disc(v - l, 0.75) q3, quantile_disc(rate, 0.25) r1, quantile_disc(rate, 0.75) r3 from m group by 1),
 x as (select *, {ends} from m window w as (partition by platform order by t, id))
-select id from h where frozen or not (v between 0 and 14) union select id from x join q using (platform) where {" or ".join(spans)}"""
+{last}"""
 
 
 #: For SQL: each quantity's names and its units' texts in lower case, with what they are worth.
@@ -208,6 +229,21 @@ select distinct record_id, ordinal, round((value * factor + shift) * 10)::bigint
 where value is not null and value <> -9999 and not (factor = 1 and shift = 0)"""
 
 
+def _values_sql() -> str:
+    """All cells with a value, converted or not."""
+    return _units_sql().split("select distinct record_id, ordinal")[0].replace("select record_id, ordinal, quantity, lower(", "select record_id, file_id, ordinal, quantity, lower(").replace("select record_id, ordinal, quantity, c.unit", "select record_id, file_id, ordinal, quantity, c.unit") + """select distinct record_id, file_id, ordinal, v.quantity, round(value, 6) reading,
+round(value * coalesce(factor, 1) + coalesce(shift, 0), 4) as value, not (coalesce(factor, 1) = 1 and coalesce(shift, 0) = 0) converted
+from v left join u on u.quantity = v.quantity and u.unit = v.unit where value is not null and value <> -9999 and (coalesce(v.unit, '') = '' or factor is not null)"""
+
+
+_SERIES_SQL = f"""with {_MESSAGES},
+d as (select distinct message_id, platform, lower(trim(sensor_type)) kind, epoch_us(cast(timestamp as timestamptz)) us, pressure_kpa p, case when isnan(temperature_c) then null else temperature_c end c from sensor_messages
+  where platform is not null and timestamp >= '2000' and (pressure_kpa is not null or (temperature_c is not null and not isnan(temperature_c)))),
+o as (select platform, k.period_s * 1000000::bigint period from t join sensor_kinds k on k.sensor_type = t.kind)
+select platform source, us // period * period slot_start_us, count(*) n_messages, round(avg(p), 4) pressure_kpa, round(avg(c), 4) temperature_c, false missing from d join o using (platform) group by 1, 2
+union all select platform, unnest(range(slot + 1, following)) * period, 0, null, null, true from g where following > slot + 1"""
+
+
 def _drift_sql() -> str:
     return f"""
 with {_columns_sql()},
@@ -257,6 +293,10 @@ select record_id, file_id, line_no, field, cast_to, number, instant_us, case whe
 #: Equivalent SQL of those queries that SQL can express in a few lines; the others are tested by brute force.
 ORACLE = {
     "p1_found": _spikes_sql(),
+    "p1_flags": _spikes_sql(fence=6.0),
+    "p2_series": _SERIES_SQL,
+    "p3_values": _values_sql(),
+    "p4_instants": _instants_sql(every=True),
     "p3_found": _units_sql(),
     "p4_found": _instants_sql(),
     "p5_found": _drift_sql(),
