@@ -29,15 +29,16 @@ def wanted(targets: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, budget: int | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, *, budget: int | None = None, meet: bool = False, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
     """The chosen documents: (doc_id, source, n_tokens, repeats), repeats at most the source's max_repeats.
 
     documents: doc_id (unique), source, text; targets: source, weight, max_repeats. Sources are matched case
-    and outer spaces apart. budget is the total in tokens; by default the largest at which every source that has
-    documents reaches its share, repeats included. With a larger one, a source whose documents run out falls
-    short of its share, and the others go on in proportion to their weights. The order inside a source is a hash
-    of seed and doc_id; a source's second round begins after its first. Documents of other or null sources, with
-    null ids or without tokens are left out; empty tables give an empty result.
+    and outer spaces apart. budget is the total in tokens; by default that of all documents of wanted
+    sources, once each. A source whose documents run out, repeats included, falls short of its share, and the
+    others go on in proportion to their weights. With meet the total is at most the largest at which every source
+    that has documents reaches its share, so that the scarcest one sets it. The order inside a source is a hash of
+    seed and doc_id; a source's second round begins after its first. Documents of other or null sources, with null
+    ids or without tokens are left out; empty tables give an empty result.
 
     The running totals are prefix sums over range partitions; no source is gathered in one task. The
     targets, one row for each source, are broadcast.
@@ -46,7 +47,9 @@ def mix(documents: DataFrame, targets: DataFrame, *, budget: int | None = None,
     rows = rows.join(F.broadcast(wanted(targets)), "source")
     rows = cut(with_token_counts(rows, "text", "n_tokens", vocabulary).filter("n_tokens > 0"))
     if budget is None:
-        budget = largest_budget(rows)
+        budget = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    if meet:
+        budget = min(budget, largest_budget(rows))
     rows = rows.withColumn("_turn", F.xxhash64(F.lit(seed), "doc_id"))
     rows = running_total(rows, ["source"], ["_turn", "doc_id"], "n_tokens", "_sum")
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("_round"))  # one row for each wanted source

@@ -24,6 +24,12 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
 
 
+def p8_balanced(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest mixture in which every board that has documents reaches its share, with the shares."""
+    targets = table(spark, folder, "source_targets")
+    return shares(mix(table(spark, folder, "documents"), targets, meet=True), targets)
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(p8_mix(spark, folder), table(spark, folder, "source_targets"))
 
@@ -37,7 +43,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_subjects(spark, folder).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_subjects)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_leaks, p8_mix, p8_balanced, p8_shares, p9_found, p9_subjects)}
 
 
 

@@ -63,10 +63,10 @@ def test_counts_are_those_of_the_tokenizer(spark):
     assert all(_encoding(VOCABULARY).decode(_encoding(VOCABULARY).encode_ordinary(t)) == t for t in texts if t)
 
 
-def test_default_budget_meets_all_targets(spark):
+def test_largest_budget_that_meets_all_targets(spark):
     d = docs(spark, [("a", 400, "one two three four"), ("b", 30, "five six"), ("c", 500, "seven eight nine")])
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.2, 3), ("c", 0.3, 1), ("gone", 1.0, 1)], TARGET)
-    got = {r.source: r for r in shares(mix(d, t), t).collect()}
+    got = {r.source: r for r in shares(mix(d, t, meet=True), t).collect()}
     assert {s: round(r.share, 1) for s, r in got.items()} == {"a": 0.5, "b": 0.2, "c": 0.3, "gone": 0.0}
     assert all(r.share == pytest.approx(r.present_share, abs=0.02) for r in got.values())
     # the scarcest source is used up
