@@ -116,3 +116,17 @@ def test_words_stand_however_often_a_corpus_repeats_its_sentences():
     corpus = [[a, b, f"{a[0]}{i}"] for a, b in (("kettle", "brew"), ("track", "siding")) for i in range(20)]
     stands = spread(given, corpus * 50, 2)
     assert (stands.get("kettle"), stands.get("track")) == (0, 1)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_held_out_examples_of_each_group(spark):
+    """A quarter of the examples of each language and subject held back."""
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/subject_examples.parquet").orderBy("example_id").collect()
+    nth, given, held = {}, [], []
+    for r in rows:
+        n = nth[r.lang, r.subject] = nth.get((r.lang, r.subject), -1) + 1
+        (given if n % 4 else held).append((r.subject, r.text))
+    scorer = Scorer(fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.createDataFrame(given, "subject string, text string")))
+    right = sum(set(scorer.subjects(t)) == ({s} if s else set()) for s, t in held)
+    assert right / len(held) >= 0.9
