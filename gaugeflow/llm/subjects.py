@@ -346,11 +346,13 @@ def spread_over(sets: DataFrame, given: list[tuple[int, list[str]]], subjects: i
             *(F.sum(part[k]).alias(f"c{k}") for k in ks), *(F.sum(more[k]).alias(f"m{k}") for k in ks), F.sum(F.when(F.col("rest") > 0.3, 1).otherwise(0)).alias("evidence")
         )
         counts = cut(counts)
-        sizes = np.array(counts.agg(*(F.coalesce(F.sum(F.col(f"c{k}") + F.col(f"m{k}")), F.lit(0.0)) for k in ks)).first(), float)
-        # a subject that holds much of the corpus has no more say about the words of all subjects
-        scale = sizes.mean() / np.maximum(sizes, max(0.05 * sizes.mean(), 1e-9))
-        state = base.join(joined(counts), "w")
-        weights = [F.col(f"e{k}") + F.col(f"c{k}") * float(scale[k]) + 1 / subjects for k in ks]
+        sizes = counts.agg(*(F.coalesce(F.sum(F.col(f"c{k}") + F.col(f"m{k}")), F.lit(0.0)).alias(f"z{k}") for k in ks))
+        mean = _total([F.col(f"z{k}") for k in ks]) / subjects
+        # a subject that holds much of the corpus has no more say about the words of all subjects; one row, joined rather
+        # than written into the plan, so that all rounds share their generated code
+        scales = sizes.select(*((mean / F.greatest(F.col(f"z{k}"), 0.05 * mean, F.lit(1e-9))).alias(f"z{k}") for k in ks))
+        state = base.join(joined(counts), "w").crossJoin(F.broadcast(scales))
+        weights = [F.col(f"e{k}") + F.col(f"c{k}") * F.col(f"z{k}") + 1 / subjects for k in ks]
         state = state.withColumn("sum", _total(weights)).select("w", "often", "varied", "evidence", *((weights[k] / F.col("sum")).alias(f"b{k}") for k in ks))
         order = F.sort_array(F.array(*belief), asc=False)
         clear = order[0] >= many * order[1] if subjects > 1 else F.lit(True)
