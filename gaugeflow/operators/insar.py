@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.operators.shards import running_total
+from gaugeflow.session import cut
+
 #: Least coherence and used share of a pair's reference pixels.
 LEAST = {"coherence": 0.20, "pixels": 10, "fraction": 0.3, "median_coherence": 0.35}
 
@@ -21,18 +24,21 @@ def reference_offsets(pixels: DataFrame) -> DataFrame:
     """(pair, offset, component, pixels, median_coherence) of reference pixels (pair, phase, corr, comp).
 
     The offset is the coherence-weighted median of phase in the pair's largest component (the lowest label on
-    a tie); where the weights split in half, the mean of the two middle values. A reference area is a small
-    part of a scene; its pixels are sorted by pair.
+    a tie); where the weights split in half, the mean of the two middle values. Weights are added up by a running
+    total over range partitions, so that a pair's reference area may be of any size.
     """
     use = pixels.filter("phase is not null and not isnan(phase) and not isnan(corr) and corr > 0 and comp > 0")
     sizes = use.groupBy("pair", "comp").count()
     largest = sizes.groupBy("pair").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("comp"))
-    rows = use.join(largest, ["pair", "comp"])
-    w = Window.partitionBy("pair").orderBy("phase", "corr", F.monotonically_increasing_id())
-    rows = rows.withColumns({"_sum": F.sum("corr").over(w), "_next": F.lead("phase").over(w), "_half": F.sum("corr").over(Window.partitionBy("pair")) / 2})
-    even = (F.abs(F.col("_sum") - F.col("_half")) <= 1e-8 + 1e-5 * F.abs("_half")) & F.col("_next").isNotNull()
-    reached = F.when((F.col("_sum") >= F.col("_half")) | even, F.struct("_sum", F.when(even, (F.col("phase") + F.col("_next")) / 2).otherwise(F.col("phase")).alias("v")))
-    return rows.groupBy("pair").agg(F.min(reached)["v"].alias("offset"), F.first("comp").alias("component"), F.count(F.lit(1)).alias("pixels"), F.median("corr").alias("median_coherence"))
+    rows = use.join(largest, ["pair", "comp"]).select("pair", "comp", "phase", "corr")
+    found = rows.groupBy("pair").agg((F.sum("corr") / 2).alias("_half"), F.first("comp").alias("component"), F.count(F.lit(1)).alias("pixels"), F.median("corr").alias("median_coherence"))
+    summed = cut(running_total(rows, ["pair"], ["phase", "corr"], "corr", "_sum"))
+    halves = summed.join(found.select("pair", "_half"), "pair")
+    even = F.abs(F.col("_sum") - F.col("_half")) <= 1e-8 + 1e-5 * F.abs("_half")
+    middle = halves.filter((F.col("_sum") >= F.col("_half")) | even).groupBy("pair").agg(F.min(F.struct("_sum", "phase", even.alias("even"))).alias("_m"))
+    after = summed.join(middle, "pair").filter(F.col("_sum") > F.col("_m._sum")).groupBy("pair").agg(F.min(F.struct("_sum", "phase"))["phase"].alias("_next"))
+    offset = F.when(F.col("_m.even") & F.col("_next").isNotNull(), (F.col("_m.phase") + F.col("_next")) / 2).otherwise(F.col("_m.phase"))
+    return found.join(middle, "pair", "left").join(after, "pair", "left").select("pair", offset.alias("offset"), "component", "pixels", "median_coherence")
 
 
 def accepted(offsets: DataFrame, totals: DataFrame) -> DataFrame:

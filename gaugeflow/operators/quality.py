@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Physical limits of water measurements.
@@ -105,5 +105,6 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key by order; rows that tie in order must be equal."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    """The first row of each key by order, nulls first; rows that tie in order must be equal. Keys are pre-aggregated."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(*keys).agg(F.min_by(whole, F.struct(*order)).alias("_first")).select("_first.*")
